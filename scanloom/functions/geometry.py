@@ -214,21 +214,26 @@ def is_convex(corners: Column) -> Column:
     return left | right
 
 
-def quad_score(ordered: Column, area: Column, image_area: Column) -> Column:
-    """How page-like an outline is: angles, parallel sides, share of the image."""
-    p, s = points(ordered), side_lengths(ordered)
-    angles = sum(
-        (
-            1 - F.least(F.lit(1.0), F.abs(angle_deg(p[i], p[(i + 1) % 4], p[(i + 2) % 4]) - 90) / 30)
-            for i in range(4)
-        ),
-        F.lit(0.0),
+def corner_angles(ordered: Column) -> Column:
+    """Angles at the second, third, fourth and first corner."""
+    p = points(ordered)
+    return F.array(*[angle_deg(p[i], p[(i + 1) % 4], p[(i + 2) % 4]) for i in range(4)])
+
+
+def shape_score(angles: Column, sides: Column, area_ratio: Column) -> Column:
+    """How page-like an outline is: right angles, equal opposite sides, share of the image."""
+    right = sum(
+        (1 - F.least(F.lit(1.0), F.abs(F.element_at(angles, i + 1) - 90) / 30) for i in range(4)), F.lit(0.0)
     ) / 4
     parallel = (
-        F.least(s["top"], s["bottom"]) / F.greatest(s["top"], s["bottom"])
-        + F.least(s["left"], s["right"]) / F.greatest(s["left"], s["right"])
+        F.least(sides["top"], sides["bottom"]) / F.greatest(sides["top"], sides["bottom"])
+        + F.least(sides["left"], sides["right"]) / F.greatest(sides["left"], sides["right"])
     ) / 2
-    return angles * 0.45 + parallel * 0.35 + (area / image_area) * 0.20
+    return right * 0.45 + parallel * 0.35 + area_ratio * 0.20
+
+
+def quad_score(ordered: Column, area: Column, image_area: Column) -> Column:
+    return shape_score(corner_angles(ordered), side_lengths(ordered), area / image_area)
 
 
 def snap_ratio(ratio: Column, tolerance: float = A4_TOLERANCE) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from scanloom import registry
 
-MODULES = ["catalogue"]
+MODULES = ["catalogue", "artefacts", "exports", "scalars", "quads"]
 
 
 def _load() -> None:

@@ -259,7 +259,10 @@ def candidate_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         F.col("user_id").alias("image_id"),
         F.col("event_id").alias("cand_id"),
-        F.when(crossed, F.array(points[0], points[2], points[1], points[3])).otherwise(F.array(*points)).alias("corners"),
+        # Generated rather than projected, so filters on corners are not expanded into their formula.
+        F.explode(
+            F.array(F.when(crossed, F.array(points[0], points[2], points[1], points[3])).otherwise(F.array(*points)))
+        ).alias("corners"),
         F.when(e % 2 == 0, "merged").otherwise("paper").alias("source"),
         F.when(e % 3 == 0, "minAreaRect").otherwise("quad").alias("kind"),
         F.lit(1000).alias("img_w"),
