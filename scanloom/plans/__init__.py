@@ -6,7 +6,7 @@ import importlib
 
 from scanloom import registry
 
-MODULES = ["catalogue", "artefacts", "exports", "scalars", "quads"]
+MODULES = ["catalogue", "artefacts", "exports", "scalars", "quads", "streams", "raster"]
 
 
 def _load() -> None:

@@ -32,12 +32,12 @@ s AS (SELECT *, {w} AS page_w, {h} AS page_h FROM r),
 t AS (SELECT *, least(page_w::double / out_w, page_h::double / out_h) AS sc FROM s)
 SELECT document_id, concat(regexp_replace(name, '[/\\\\:*?"<>|]', '_', 'g'), '.pdf') AS file_name, id AS page_id, page_number,
   image_path, {PRESET_SQL.format(c='filter_name')} AS filter_name, rotation_degrees, out_w, out_h,
-  round(page_w, 8) AS page_w, round(page_h, 8) AS page_h, round(sc, 8) AS scale,
-  round((page_w - out_w * sc) / 2, 8) AS dx, round((page_h - out_h * sc) / 2, 8) AS dy FROM t"""
+  floor((page_w)*1e8 + 0.5)/1e8 AS page_w, floor((page_h)*1e8 + 0.5)/1e8 AS page_h, floor((sc)*1e8 + 0.5)/1e8 AS scale,
+  floor(((page_w - out_w * sc) / 2)*1e8 + 0.5)/1e8 AS dx, floor(((page_h - out_h * sc) / 2)*1e8 + 0.5)/1e8 AS dy FROM t"""
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 8) for c in ("page_w", "page_h", "scale", "dx", "dy")})
+    return df.withColumns({c: F.floor(F.col(c).cast("double") * 1e8 + 0.5) / 1e8 for c in ("page_w", "page_h", "scale", "dx", "dy")})
 
 
 @query("export_manifest", _manifest_sql(

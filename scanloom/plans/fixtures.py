@@ -301,7 +301,9 @@ def page_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.raster.grid import to_bands
 
     k = F.col("page_id")
-    rows = table(spark, sf_dir, "part").select(
+    # A few bytes per part become a whole image, so the parts are spread before they grow.
+    parts = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    rows = parts.select(
         F.col("p_partkey").alias("page_id"),
         F.explode(F.sequence(F.lit(0), F.lit(PIXEL_ROWS - 1))).alias("y"),
     )

@@ -21,7 +21,8 @@ def dims(spark, sf):
 
 
 def r8(column, name):
-    return F.round(column, 8).alias(name)
+    """Eight decimals, half up; written out so that both engines break ties alike."""
+    return (F.floor(column * 1e8 + 0.5) / 1e8).alias(name)
 
 
 def r6(column, name):
@@ -103,11 +104,11 @@ def artefact_keys(spark, sf):
 
 
 @query("page_layout", CATALOGUE + f"""
-SELECT id, round(CASE WHEN abs(q-{A4P})/{A4P} <= 0.2 THEN {A4P} WHEN abs(q-{A4L})/{A4L} <= 0.2 THEN {A4L} ELSE q END, 8) AS ratio,
+SELECT id, floor((CASE WHEN abs(q-{A4P})/{A4P} <= 0.2 THEN {A4P} WHEN abs(q-{A4L})/{A4L} <= 0.2 THEN {A4L} ELSE q END)*1e8 + 0.5)/1e8 AS ratio,
   cast(pw AS int) AS pdf_w, cast(ph AS int) AS pdf_h,
-  round(CASE WHEN abs(q-{P4P})/{P4P} <= 0.2 THEN 595.28 WHEN abs(q-{P4L})/{P4L} <= 0.2 OR q >= 1 THEN 841.89 ELSE 841.89*q END, 8) AS rect_w,
-  round(CASE WHEN abs(q-{P4P})/{P4P} <= 0.2 THEN 841.89 WHEN abs(q-{P4L})/{P4L} <= 0.2 THEN 595.28 WHEN q >= 1 THEN 841.89/q ELSE 841.89 END, 8) AS rect_h,
-  round(s, 8) AS scale, round((pw - img_w*s)/2, 8) AS dx, round((ph - img_h*s)/2, 8) AS dy
+  floor((CASE WHEN abs(q-{P4P})/{P4P} <= 0.2 THEN 595.28 WHEN abs(q-{P4L})/{P4L} <= 0.2 OR q >= 1 THEN 841.89 ELSE 841.89*q END)*1e8 + 0.5)/1e8 AS rect_w,
+  floor((CASE WHEN abs(q-{P4P})/{P4P} <= 0.2 THEN 841.89 WHEN abs(q-{P4L})/{P4L} <= 0.2 THEN 595.28 WHEN q >= 1 THEN 841.89/q ELSE 841.89 END)*1e8 + 0.5)/1e8 AS rect_h,
+  floor((s)*1e8 + 0.5)/1e8 AS scale, floor(((pw - img_w*s)/2)*1e8 + 0.5)/1e8 AS dx, floor(((ph - img_h*s)/2)*1e8 + 0.5)/1e8 AS dy
 FROM (SELECT *, least(pw::double/img_w, ph::double/img_h) AS s FROM (SELECT *,
   CASE WHEN abs(q-{A4P})/{A4P} <= 0.2 THEN 595 WHEN abs(q-{A4L})/{A4L} <= 0.2 OR q >= 1 THEN 842 ELSE greatest(1, floor(842*q + 0.5)) END AS pw,
   CASE WHEN abs(q-{A4P})/{A4P} <= 0.2 THEN 842 WHEN abs(q-{A4L})/{A4L} <= 0.2 THEN 595 WHEN q >= 1 THEN greatest(1, floor(842/q + 0.5)) ELSE 842 END AS ph

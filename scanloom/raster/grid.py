@@ -1,0 +1,183 @@
+"""Page images as scanlines: one row per image row, one array per channel.
+
+Columns: ``page_id``, ``band``, ``y``, ``h``, ``w``, ``core`` and one ``array<int>`` per plane. A page
+is cut into bands of image rows, each with a margin of neighbouring rows (``core`` is false there).
+Everything that looks at neighbours works inside (page, band), so one shuffle by that key serves a
+whole filter, and a huge page is spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+BAND_ROWS = 2048
+MARGIN_ROWS = 160
+KEY = ["page_id", "band"]
+POSITION = ["page_id", "band", "y", "h", "w", "core"]
+
+
+def to_bands(lines: DataFrame, band_rows: int = BAND_ROWS, margin: int = MARGIN_ROWS) -> DataFrame:
+    """Cut pages ``(page_id, y, h, w, planes…)`` into bands with margins."""
+    y, last = F.col("y"), F.floor((F.col("h") - 1) / band_rows)
+    first = F.greatest(F.lit(0), F.floor((y - margin) / band_rows))
+    bands = F.sequence(first.cast("int"), F.least(last, F.floor((y + margin) / band_rows)).cast("int"))
+    planes = [c for c in lines.columns if c not in POSITION]
+    return lines.withColumn("band", F.explode(bands)).select(
+        "page_id", "band", "y", "h", "w",
+        (F.floor(y / band_rows) == F.col("band")).alias("core"),
+        *planes,
+    )
+
+
+def core(px: DataFrame) -> DataFrame:
+    """Every image row once, without margins."""
+    return px.filter("core").drop("band", "core")
+
+
+def rows_in_order():
+    return W.partitionBy(*KEY).orderBy("y")
+
+
+def pixels(px: DataFrame, *planes: str) -> DataFrame:
+    """One row per pixel of the core rows: page_id, h, w, y, x and the planes."""
+    zipped = F.arrays_zip(*[F.col(p) for p in planes])
+    return (
+        px.filter("core")
+        .select("page_id", "h", "w", "y", F.posexplode(zipped).alias("x", "_p"))
+        .select("page_id", "h", "w", "y", "x", *[F.col(f"_p.{p}").alias(p) for p in planes])
+    )
+
+
+def from_pixels(cells: DataFrame, *planes: str) -> DataFrame:
+    """Pixel rows (page_id, h, w, y, x, planes) back to scanlines."""
+    line = F.array_sort(F.collect_list(F.struct("x", *planes)))
+    return to_bands(
+        cells.groupBy("page_id", "h", "w", "y")
+        .agg(line.alias("_l"))
+        .select("page_id", "y", "h", "w", *[F.col(f"_l.{p}").alias(p) for p in planes])
+    )
+
+
+def map_planes(px: DataFrame, inputs: list[str], fn: Callable[..., Column | dict[str, Column]], outputs: list[str]) -> DataFrame:
+    """Pointwise operator: ``fn`` gets one pixel's values and returns a Column (a struct for several outputs) or a dict."""
+    if len(inputs) == 1:
+        source, unpack = F.col(inputs[0]), lambda p: [p]
+    else:
+        source, unpack = F.arrays_zip(*[F.col(i) for i in inputs]), lambda p: [p[i] for i in inputs]
+    if len(outputs) == 1:
+        def single(p):
+            value = fn(*unpack(p))
+            return value[outputs[0]] if isinstance(value, dict) else value
+
+        return px.withColumn(outputs[0], F.transform(source, single))
+
+    def several(p):
+        values = fn(*unpack(p))
+        return F.struct(*[values[o].alias(o) for o in outputs]) if isinstance(values, dict) else values
+
+    return (
+        px.withColumn("_mapped", F.transform(source, several))
+        .withColumns({o: F.col("_mapped").getField(o) for o in outputs})
+        .drop("_mapped")
+    )
+
+
+def attach(px: DataFrame, stats: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Add page-level columns of ``stats(page_id, h, …)`` to every row of the page.
+
+    Statistics are repeated per band, so the join uses the key the scanlines are partitioned by and
+    the scanlines do not move again.
+    """
+    last = F.floor((F.col("h") - 1) / band_rows).cast("int")
+    spread = stats.withColumn("band", F.explode(F.sequence(F.lit(0), last))).drop("h")
+    return px.join(spread, KEY, "left")
+
+
+# --- neighbours ----------------------------------------------------------------------------------
+
+
+def combine(base: Column, others: list[Column], fn: Callable[..., Column]) -> Column:
+    """Element-wise ``fn`` over arrays; an absent array contributes NULLs."""
+    return F.transform(base, lambda e, i: fn(e, *[F.get(o, i) for o in others]))
+
+
+def pad_line(line: Column, r: int, border: str = "replicate") -> Column:
+    """A line extended by ``r`` values on both sides."""
+    if border == "replicate":
+        left, right = F.array_repeat(F.element_at(line, 1), r), F.array_repeat(F.element_at(line, -1), r)
+    elif border == "reflect":
+        left, right = F.reverse(F.slice(line, 2, r)), F.reverse(F.slice(line, F.size(line) - r, F.lit(r)))
+    else:
+        raise ValueError(border)
+    return F.concat(left, line, right)
+
+
+def with_stack(px: DataFrame, plane: str, r: int, name: str, border: str = "replicate") -> DataFrame:
+    """Add the ``2r+1`` lines around each row, completed at the page's first and last row.
+
+    At the outer edge of a margin the completion is meaningless, which is what margins are for.
+    """
+    order = rows_in_order()
+    near = order.rowsBetween(-r, r)
+    whole = W.partitionBy(*KEY)
+    above = F.row_number().over(order) - 1
+    framed = px.withColumns(
+        {"_near": F.collect_list(plane).over(near), "_above": above, "_count": F.count(F.lit(1)).over(whole)}
+    )
+    top = F.greatest(F.lit(0), F.lit(r) - F.col("_above"))
+    bottom = F.greatest(F.lit(0), F.lit(r) - (F.col("_count") - 1 - F.col("_above"))).cast("int")
+    near_rows = F.col("_near")
+    if border == "replicate":
+        before = F.array_repeat(F.element_at(near_rows, 1), top)
+        after = F.array_repeat(F.element_at(near_rows, -1), bottom)
+    elif border == "reflect":
+        before = F.reverse(F.slice(near_rows, F.lit(2), top))
+        after = F.reverse(F.slice(near_rows, F.greatest(F.lit(1), F.size(near_rows) - bottom), bottom))
+    else:
+        raise ValueError(border)
+    return framed.withColumn(name, F.concat(before, near_rows, after)).drop("_near", "_above", "_count")
+
+
+def weigh_lines(px: DataFrame, plane: str, weights: list[float], name: str, border: str = "replicate") -> DataFrame:
+    """Weighted sum along each line."""
+    r = len(weights) // 2
+    padded = px.withColumn("_padded", pad_line(F.col(plane), r, border))
+
+    def taps(_, i: Column) -> Column:
+        terms = [F.get(F.col("_padded"), i + k) * F.lit(float(w)) for k, w in enumerate(weights)]
+        return reduce(lambda a, b: a + b, terms)
+
+    return padded.withColumn(name, F.transform(plane, taps)).drop("_padded")
+
+
+def weigh_rows(px: DataFrame, plane: str, weights: list[float], name: str, border: str = "replicate") -> DataFrame:
+    """Weighted sum across rows."""
+    r = len(weights) // 2
+    stacked = with_stack(px, plane, r, "_stack", border)
+
+    def taps(_, i: Column) -> Column:
+        terms = [F.get(F.get(F.col("_stack"), F.lit(k)), i) * F.lit(float(w)) for k, w in enumerate(weights)]
+        return reduce(lambda a, b: a + b, terms)
+
+    return stacked.withColumn(name, F.transform(plane, taps)).drop("_stack")
+
+
+def sum_lines(px: DataFrame, plane: str, r: int, name: str) -> DataFrame:
+    """Sum of ``2r+1`` values along each line, edges repeated."""
+    padded = px.withColumn("_padded", pad_line(F.col(plane), r))
+    box = lambda _, i: F.aggregate(
+        F.slice(F.col("_padded"), i + 1, F.lit(2 * r + 1)), F.lit(0).cast("long"), lambda a, v: a + v
+    )
+    return padded.withColumn(name, F.transform(plane, box)).drop("_padded")
+
+
+def sum_rows(px: DataFrame, plane: str, r: int, name: str) -> DataFrame:
+    """Sum of ``2r+1`` values across rows, edges repeated."""
+    stacked = with_stack(px, plane, r, "_stack")
+    box = lambda _, i: F.aggregate(
+        F.col("_stack"), F.lit(0).cast("long"), lambda a, line: a + F.get(line, i)
+    )
+    return stacked.withColumn(name, F.transform(plane, box)).drop("_stack")

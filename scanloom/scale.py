@@ -83,19 +83,22 @@ def chunk_with_overlap(
     )
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
-    """Last non-null ``value`` at or before each row, for rows already cut into ``chunk``."""
+def carry_forward(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, chunks: DataFrame
+) -> DataFrame:
+    """Last non-null ``value`` at or before each row, for rows already cut into ``chunk``.
+
+    ``chunks(keys, chunk)`` lists every chunk once. Inside a chunk this is a window; across chunks
+    only one value per chunk travels.
+    """
     inside = W.partitionBy(*keys, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     ends = df.filter(F.col(value).isNotNull()).groupBy(*keys, "chunk").agg(
         F.max_by(F.col(value), F.struct(*order)).alias("_end")
     )
-    # One row per chunk that saw a value; a chunk looks up the latest such earlier chunk.
-    chunks = df.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_n")).join(
-        ends, [*keys, "chunk"], "left"
-    )
     earlier = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     inherited = (
-        chunks.withColumn("_in", F.last("_end", ignorenulls=True).over(earlier))
+        chunks.join(ends, [*keys, "chunk"], "left")
+        .withColumn("_in", F.last("_end", ignorenulls=True).over(earlier))
         .filter(F.col("_in").isNotNull())
         .select(*keys, "chunk", "_in")
     )
