@@ -336,3 +336,31 @@ SQL_PIXELS = f"""px AS (
     cast(CASE WHEN (x*7+y*13+p_partkey*17) % 19 = 0 THEN 40 + p_partkey % 30 ELSE 145 + (x*3+y*2+p_partkey*7) % 90 END AS int) AS g,
     cast(CASE WHEN (x*7+y*13+p_partkey*17) % 19 = 0 THEN 120 + p_partkey % 50 ELSE 135 + (x*3+y*2+p_partkey*5) % 90 END AS int) AS b
   FROM part, range({PIXEL_ROWS}) ry(y), range({PIXEL_COLS}) rx(x))"""
+
+
+def page_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outline per page image."""
+    k = F.col("p_partkey")
+
+    def point(x: Column, y: Column) -> Column:
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    return table(spark, sf_dir, "part").select(
+        k.alias("page_id"),
+        F.lit(0).alias("cand_id"),
+        F.array(
+            point(2 + k % 3, 3 + k % 4), point(20 - k % 2, 2 + k % 3), point(21 - k % 3, 28 - k % 4), point(1 + k % 2, 27 - k % 3)
+        ).alias("corners"),
+    )
+
+
+SQL_PAGE_QUADS = """pq AS (SELECT p_partkey AS page_id, 2 + p_partkey % 3 AS x0, 3 + p_partkey % 4 AS y0, 20 - p_partkey % 2 AS x1,
+  2 + p_partkey % 3 AS y1, 21 - p_partkey % 3 AS x2, 28 - p_partkey % 4 AS y2, 1 + p_partkey % 2 AS x3, 27 - p_partkey % 3 AS y3 FROM part)"""
+
+
+def raster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page rows for the page images: every preset and an unknown key."""
+    keys = F.array(*[F.lit(v) for v in ("original", "sharpen", "bw", "magic", "whiteboard", "vivid", "legacy")])
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.get(keys, (F.col("p_partkey") % 7).cast("int")).alias("filter_name")
+    )

@@ -42,36 +42,55 @@ def _percentile(mode: str, p: float) -> Column:
     return F.floor(stats.linear(p)) if mode == "docs" else stats.nearest(p)
 
 
-def _bright_and_plain(px: DataFrame, l: str, floor: int, p: float, most: int, name: str, mode: str) -> DataFrame:  # noqa: E741
-    """Brighter than a page percentile (at least ``floor``) and with little colour."""
-    limits = stats.percentiles(stats.histogram(px, l), _limit=F.greatest(F.lit(floor), _percentile(mode, p)))
-    marked = map_planes(
-        attach(px, limits.select("page_id", "h", "_limit")),
+# Lowest limit and page percentile behind each mask.
+LIMITS = {
+    "paper": (96, 0.18),
+    "structure": (72, 0.10),
+    "dark": (70, 0.12),
+    "board": (156, 0.58),
+    "candidate": (110, 0.55),
+}
+
+
+def with_limits(px: DataFrame, l: str, wanted: list[str], mode: str = "docs") -> DataFrame:  # noqa: E741
+    """Attach the brightness limits of several masks, ``limit_<name>``, from one histogram."""
+    limits = {
+        f"limit_{n}": F.greatest(F.lit(LIMITS[n][0]), _percentile(mode, LIMITS[n][1])).cast("int") for n in wanted
+    }
+    return attach(px, stats.percentiles(stats.histogram(px, l), **limits))
+
+
+def _limited(px: DataFrame, l: str, name: str, mode: str) -> DataFrame:  # noqa: E741
+    return px if f"limit_{name}" in px.columns else with_limits(px, l, [name], mode)
+
+
+def _bright_and_plain(px: DataFrame, l: str, limit: str, most: int, name: str, mode: str) -> DataFrame:  # noqa: E741
+    """Brighter than the page's limit and with little colour."""
+    return map_planes(
+        _limited(px, l, limit, mode),
         [l, "a", "bb"],
-        lambda v, a, b: both(above(v, F.col("_limit")), at_most(point.chroma(a, b), most)),
+        lambda v, a, b: both(above(v, F.col(f"limit_{limit}")), at_most(point.chroma(a, b), most)),
         [name],
     )
-    return marked.drop("_limit")
 
 
 def paper_mask(px: DataFrame, l: str, name: str, mode: str = "docs") -> DataFrame:  # noqa: E741
-    raw = _bright_and_plain(px, l, 96, 0.18, 34, name, mode)
+    raw = _bright_and_plain(px, l, "paper", 34, name, mode)
     repeat = "grouped" if mode == "docs" else "repeated"
     return nb.open_(nb.close(raw, name, 5, 2, repeat), name, 5)
 
 
 def paper_candidate_mask(px: DataFrame, l: str, name: str) -> DataFrame:  # noqa: E741
-    raw = _bright_and_plain(px, l, 110, 0.55, 42, name, "docs")
+    raw = _bright_and_plain(px, l, "candidate", 42, name, "docs")
     return nb.open_(nb.close(raw, name, 9, 2), name, 9)
 
 
 def structure_mask(px: DataFrame, l: str, name: str, mode: str = "docs") -> DataFrame:  # noqa: E741
     """Strokes: darker than their surroundings, or among the darkest of the page."""
-    limits = stats.percentiles(stats.histogram(px, l), _limit=F.greatest(F.lit(72), _percentile(mode, 0.10)))
-    adaptive = nb.adaptive_inverse(attach(px, limits), l, "_adaptive", mode=mode)
+    adaptive = nb.adaptive_inverse(_limited(px, l, "structure", mode), l, "_adaptive", mode=mode)
     raw = map_planes(
-        adaptive, [l, "_adaptive"], lambda v, m: either(m, at_most(v, F.col("_limit"))), [name]
-    ).drop("_adaptive", "_limit")
+        adaptive, [l, "_adaptive"], lambda v, m: either(m, at_most(v, F.col("limit_structure"))), [name]
+    ).drop("_adaptive")
     return nb.dilate(nb.open_(raw, name, 3), name, 3, 2)
 
 
@@ -108,21 +127,18 @@ def sauvola(px: DataFrame, plane: str, k: float = 0.18, size: int = 31, dynamic:
 
 
 def paper_color_mask(px: DataFrame, sat: str, l: str, paper: str, accent: str, name: str, mode: str = "docs") -> DataFrame:  # noqa: E741
-    """Coloured content on paper, joined with the accents. Needs a ``richness`` column.
+    """Coloured content on paper, joined with the accents.
 
-    In docs mode a page without such content keeps its accent mask as it is.
+    Needs the page's ``richness`` and ``top_sat`` (strongest visible colour on paper). In docs mode a
+    page without such content keeps its accent mask as it is.
     """
     limit = F.lit(22.0) - F.col("richness") * 8.0
+
+    def colored(s: Column, v: Column, p: Column, m: Column) -> Column:
+        strong = s >= limit if mode == "docs" else s > F.floor(limit)
+        return either(((p > 0) & (v > 48) & strong).cast("int"), m)
+
+    opened = nb.open_(map_planes(px, [sat, l, paper, accent], colored, [name]), name, 3)
     if mode == "docs":
-        passes = lambda s: s >= limit
-    else:
-        passes = lambda s: s > F.floor(limit)
-    medium = map_planes(
-        px, [sat, l, paper], lambda s, v, p: ((p > 0) & (v > 48) & passes(s)).cast("int"), ["_medium"]
-    )
-    some = medium.filter("core").groupBy("page_id", "h").agg(F.max(F.array_max("_medium")).alias("_some"))
-    joined = map_planes(attach(medium, some), ["_medium", accent], either, [name])
-    opened = nb.open_(joined, name, 3)
-    if mode == "docs":
-        opened = opened.withColumn(name, F.when(F.col("_some") > 0, F.col(name)).otherwise(F.col(accent)))
-    return opened.drop("_medium", "_some")
+        opened = opened.withColumn(name, F.when(F.col("top_sat") >= limit, F.col(name)).otherwise(F.col(accent)))
+    return opened

@@ -255,7 +255,8 @@ def masked_min_scaled(base: Column, reference: Column, mask: Column, scale: floa
 
 def flat_field(l: Column, surface: Column, mean: Column) -> Column:  # noqa: E741
     """Divide out the illumination surface, keeping its mean."""
-    return to_byte((f32(l) + f32(1.0)) / (f32(surface) + f32(1.0)) * f32(mean))
+    # Division yields a double; rounding it back is the same as dividing in single precision.
+    return to_byte(f32((f32(l) + f32(1.0)) / (f32(surface) + f32(1.0))) * f32(mean))
 
 
 def stretch(v: Column, black: Column, white: Column) -> Column:

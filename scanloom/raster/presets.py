@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.operators.catalog import preset_key
 from scanloom.raster import masks, neighbourhood as nb, point, stats, tone
-from scanloom.raster.grid import POSITION, attach, map_planes
+from scanloom.raster.grid import POSITION, attach, map_planes, rows_in_order, to_bands
 from scanloom.raster.warp import resize_nearest
 from scanloom.scale import cut
 
@@ -46,17 +46,21 @@ def auto_stretch(px: DataFrame, plane: str, low: float = 0.005, high: float = 0.
     ).drop("_black", "_white")
 
 
-def clean_lightness(px: DataFrame) -> DataFrame:
-    """Lab planes with even, stretched and denoised lightness. Staged: everything after reads it often."""
-    return cut(nb.median3(auto_stretch(flatten(to_lab(px)), "l"), "l", "l"))
+def clean_lightness(px: DataFrame, limits: list[str]) -> DataFrame:
+    """Colour planes with even, stretched and denoised lightness, and the page's mask limits.
+
+    Staged twice: page statistics read the stage before them instead of recomputing it.
+    """
+    lit = cut(nb.illumination(to_lab(px).drop(*RGB), "l", "_surface"))
+    lit = attach(lit, stats.plane_mean(lit, "_surface", "_mean"))
+    flat = map_planes(lit, ["l", "_surface"], lambda v, s: point.flat_field(v, s, F.col("_mean")), ["l"])
+    clean = cut(nb.median3(auto_stretch(flat.drop("_surface", "_mean"), "l"), "l", "l"))
+    return masks.with_limits(clean, "l", limits)
 
 
 def _without(px: DataFrame, mask: str, *others: str) -> DataFrame:
     """Remove other masks from a mask."""
-    return map_planes(
-        px, [mask, *others], lambda m, *o: masks.both(m, *[masks.negate(x) for x in o[:1]]) if len(o) == 1
-        else F.least(m, *[masks.negate(x) for x in o]), [mask],
-    )
+    return map_planes(px, [mask, *others], lambda m, *o: F.least(m, *[masks.negate(x) for x in o]), [mask])
 
 
 def neutral_colors(px: DataFrame, mask: str) -> DataFrame:
@@ -75,9 +79,9 @@ def _saturation(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
     return point.rgb_to_hsv(rgb["r"], rgb["g"], rgb["b"])["sat"]
 
 
-def with_richness(px: DataFrame, sat: str, l: str) -> DataFrame:  # noqa: E741
+def with_richness(px: DataFrame, sat: str, l: str, paper: str) -> DataFrame:  # noqa: E741
     seen = map_planes(px, [l], lambda v: masks.visible(v), ["_seen"])
-    return attach(seen, stats.color_richness(seen, sat, "_seen")).drop("_seen")
+    return attach(seen, stats.color_richness(seen, sat, "_seen", paper)).drop("_seen")
 
 
 def restore_saturation(px: DataFrame) -> DataFrame:
@@ -114,12 +118,13 @@ def magic_step1(px: DataFrame) -> DataFrame:
 
 def magic(px: DataFrame) -> DataFrame:
     """Even lighting, white paper, kept and restored content colour."""
-    px = clean_lightness(px.select(*POSITION, *RGB)).drop(*RGB)
+    px = clean_lightness(px.select(*POSITION, *RGB), ["paper", "structure"])
     px = masks.structure_mask(masks.paper_mask(px, "l", "paper"), "l", "structure")
     px = nb.close(_without(px, "paper", "structure").drop("structure"), "paper", 5, 2)
-    px = cut(neutral_colors(masks.accent_mask(px, "l", "accent"), "paper").drop("a", "bb"))
-    px = map_planes(px, ["l", "na", "nb"], _saturation, ["ref_sat"])
-    px = masks.paper_color_mask(with_richness(px, "ref_sat", "l"), "ref_sat", "l", "paper", "accent", "paper_color")
+    px = cut(masks.accent_mask(px, "l", "accent").drop("limit_paper", "limit_structure"))
+    px = map_planes(neutral_colors(px, "paper").drop("a", "bb"), ["l", "na", "nb"], _saturation, ["ref_sat"])
+    px = with_richness(px, "ref_sat", "l", "paper")
+    px = masks.paper_color_mask(px, "ref_sat", "l", "paper", "accent", "paper_color")
     rich = F.col("richness")
     muted, colored = F.lit(0.18) + rich * 0.18, F.lit(0.42) + rich * 0.30
     accented, keep = F.least(F.lit(1.0), F.lit(0.86) + rich * 0.10), F.lit(0.24) + rich * 0.18
@@ -144,13 +149,12 @@ UPSCALE_BELOW = 1400
 
 
 def _bw(px: DataFrame) -> DataFrame:
-    px = clean_lightness(px.select(*POSITION, *RGB)).drop(*RGB)
+    px = clean_lightness(px, ["paper", "dark"])
     px = map_planes(px, ["l"], lambda v: point.contrast(v, 1.48), ["strong_l"])
     px = masks.sauvola(masks.paper_mask(px, "l", "paper"), "strong_l").drop("a", "bb")
-    dark = stats.percentiles(stats.histogram(px, "l"), _dark=F.greatest(F.lit(70), F.floor(stats.linear(0.12))))
     px = map_planes(
-        attach(px, dark), ["strong", "l"], lambda s, v: masks.either(s, masks.at_most(v, F.col("_dark"))), ["strong"]
-    ).drop("_dark")
+        px, ["strong", "l"], lambda s, v: masks.either(s, masks.at_most(v, F.col("limit_dark"))), ["strong"]
+    ).drop("limit_dark", "limit_paper")
     px = nb.dilate(nb.dilate(px, "soft", 3), "strong", 3)
     px = nb.median3_mask(map_planes(px, ["soft", "strong"], masks.either, ["structure"]), "structure", "structure")
     px = nb.close(_without(px, "paper", "structure").drop("soft", "strong"), "paper", 5, 2)
@@ -171,54 +175,52 @@ def _bw(px: DataFrame) -> DataFrame:
         lambda v, paper: tone.paper_floor(tone.quantize(v, F.col("levels")), paper, F.col("levels")),
         ["v"],
     )
-    return px.select(*POSITION, *[F.col("v").alias(c) for c in RGB])
+    return px.select(*POSITION, "doubled", "v")
 
 
 def document_bw(px: DataFrame) -> DataFrame:
     """A few gray tones. Small pages are worked on at twice their size (nearest instead of cubic)."""
-    px = px.select(*POSITION, *RGB)
-    small = F.greatest("h", "w") < UPSCALE_BELOW
-    doubled = _bw(resize_nearest(px.filter(small), RGB, F.col("h") * 2, F.col("w") * 2))
-    return halve(doubled).unionByName(_bw(px.filter(~small)))
+    px = px.select(*POSITION, *RGB).withColumn("doubled", F.greatest("h", "w") < UPSCALE_BELOW)
+    small = resize_nearest(px.filter("doubled"), RGB, F.col("h") * 2, F.col("w") * 2, keep=["doubled"])
+    done = _bw(small.unionByName(px.filter(~F.col("doubled"))))
+    whole = done.filter(~F.col("doubled")).select(*POSITION, "v")
+    gray = halve(done.filter("doubled"), "v").unionByName(whole)
+    return gray.select(*POSITION, *[F.col("v").alias(c) for c in RGB])
 
 
-def halve(px: DataFrame) -> DataFrame:
+def halve(px: DataFrame, plane: str) -> DataFrame:
     """Mean of 2 x 2 blocks, for pages of even size."""
-    from scanloom.raster.grid import rows_in_order, to_bands
-
-    order = rows_in_order()
-    pairs = px.withColumns({f"_n_{c}": F.lead(c).over(order) for c in RGB}).filter(F.col("core") & (F.col("y") % 2 == 0))
+    following = F.lead(plane).over(rows_in_order())
+    pairs = px.withColumn("_below", following).filter(F.col("core") & (F.col("y") % 2 == 0))
 
-    def block(c: str) -> Column:
-        at = lambda line, x: F.get(F.col(line), x)
-        return F.transform(
-            F.sequence(F.lit(0), (F.col("w") / 2).cast("int") - 1),
-            lambda x: F.floor((at(c, x * 2) + at(c, x * 2 + 1) + at(f"_n_{c}", x * 2) + at(f"_n_{c}", x * 2 + 1)) / 4 + 0.5).cast("int"),
-        )
+    def block(x: Column) -> Column:
+        corners = [F.get(F.col(line), x * 2 + d) for line in (plane, "_below") for d in (0, 1)]
+        return F.floor((corners[0] + corners[1] + corners[2] + corners[3]) / 4 + 0.5).cast("int")
 
+    mean = F.transform(F.sequence(F.lit(0), (F.col("w") / 2).cast("int") - 1), block)
     return to_bands(
-        pairs.select(
+        pairs.withColumn("_mean", mean).select(
             "page_id", (F.col("y") / 2).cast("int").alias("y"), (F.col("h") / 2).cast("int").alias("h"),
-            (F.col("w") / 2).cast("int").alias("w"), *[block(c).alias(c) for c in RGB],
+            (F.col("w") / 2).cast("int").alias("w"), F.col("_mean").alias(plane),
         )
     )
 
 
 def whiteboard(px: DataFrame) -> DataFrame:
     """White board, kept and boosted marker colours."""
-    px = clean_lightness(px.select(*POSITION, *RGB)).drop(*RGB)
+    px = clean_lightness(px.select(*POSITION, *RGB), ["paper", "structure", "board"])
     px = masks.accent_mask(px, "l", "accent", whiteboard=True)
     px = nb.dilate(px.withColumn("protect", F.col("accent")), "protect", 3)
     px = masks.structure_mask(px, "l", "structure")
     px = masks.sauvola(map_planes(px, ["l"], lambda v: point.contrast(v, 1.22), ["_c"]), "_c", 0.16, 35).drop("_c", "soft")
     px = map_planes(px, ["structure", "strong", "protect"], lambda s, t, p: F.greatest(s, t, p), ["structure"])
-    px = cut(nb.dilate(nb.median3_mask(px, "structure", "structure"), "structure", 3))
-    px = masks.paper_mask(px, "l", "paper")
-    bright = stats.percentiles(stats.histogram(px, "l"), _bright=F.greatest(F.lit(156), F.floor(stats.linear(0.58))))
+    px = nb.dilate(nb.median3_mask(px, "structure", "structure"), "structure", 3)
     px = map_planes(
-        attach(px, bright), ["paper", "l"], lambda p, v: masks.either(p, masks.above(v, F.col("_bright"))), ["paper"]
-    ).drop("_bright")
-    px = nb.close(_without(px, "paper", "structure", "protect").drop("structure"), "paper", 5, 2)
+        masks.paper_mask(px, "l", "paper"),
+        ["paper", "l"], lambda p, v: masks.either(p, masks.above(v, F.col("limit_board"))), ["paper"],
+    )
+    px = _without(px, "paper", "structure", "protect").drop("structure", "limit_paper", "limit_structure", "limit_board")
+    px = cut(nb.close(px, "paper", 5, 2))
     px = neutral_colors(px, "paper").drop("a", "bb")
 
     def compose(l, na, nb_, paper, accent, protect, strong):  # noqa: E741

@@ -123,21 +123,29 @@ def masked_mean(px: DataFrame, planes: list[str], mask: str, default: float = 12
     )
 
 
-def color_richness(px: DataFrame, sat: str, visible: str) -> DataFrame:
-    """Share of visible pixels with clear colour, rescaled to 0..1."""
+def color_richness(px: DataFrame, sat: str, visible: str, paper: str | None = None) -> DataFrame:
+    """Share of visible pixels with clear colour, rescaled to 0..1.
+
+    With a ``paper`` mask, also the strongest visible colour on it (``top_sat``, -1 if none).
+    """
     seen = F.aggregate(visible, F.lit(0).cast("long"), lambda s, v: s + v)
     vivid = F.aggregate(
         F.zip_with(sat, visible, lambda s, v: ((s > 18) & (v > 0)).cast("int")),
         F.lit(0).cast("long"), lambda s, v: s + v,
     )
-    sums = px.filter("core").groupBy(*PAGE).agg(F.sum(seen).alias("_n"), F.sum(vivid).alias("_c"))
+    found = [F.sum(seen).alias("_n"), F.sum(vivid).alias("_c")]
+    if paper:
+        on_paper = F.transform(
+            F.arrays_zip(F.col(sat).alias("s"), F.col(visible).alias("v"), F.col(paper).alias("p")),
+            lambda t: F.when((t["v"] > 0) & (t["p"] > 0), t["s"]).otherwise(-1),
+        )
+        found.append(F.max(F.array_max(on_paper)).alias("top_sat"))
+    sums = px.filter("core").groupBy(*PAGE).agg(*found)
     density = F.col("_c") / F.col("_n")
-    return sums.select(
-        *PAGE,
-        F.when(F.col("_n") == 0, F.lit(0.0))
-        .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (density - 0.025) / 0.14)))
-        .alias("richness"),
+    richness = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), (density - 0.025) / 0.14))
     )
+    return sums.select(*PAGE, richness.alias("richness"), *(["top_sat"] if paper else []))
 
 
 def line_bright_ratio(px: DataFrame, plane: str, axis: str, threshold: int = 18) -> DataFrame:
