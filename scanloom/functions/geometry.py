@@ -244,9 +244,8 @@ def snap_ratio(ratio: Column, tolerance: float = A4_TOLERANCE) -> Column:
     )
 
 
-def quad_paper_ratio(ordered: Column) -> Column:
+def ratio_of_sides(s: Column) -> Column:
     """Paper ratio from the longest sides, corrected for a strongly foreshortened portrait page."""
-    s = side_lengths(ordered)
     max_w, max_h = F.greatest(s["top"], s["bottom"]), F.greatest(s["left"], s["right"])
     min_w = F.greatest(F.lit(1.0), F.least(s["top"], s["bottom"]))
     min_h = F.greatest(F.lit(1.0), F.least(s["left"], s["right"]))
@@ -256,6 +255,10 @@ def quad_paper_ratio(ordered: Column) -> Column:
     return snap_ratio(F.when(foreshortened, min_w / max_h).otherwise(seen))
 
 
+def quad_paper_ratio(ordered: Column) -> Column:
+    return ratio_of_sides(side_lengths(ordered))
+
+
 def sides_paper_ratio(top: Column, bottom: Column, left: Column, right: Column) -> Column:
     """Paper ratio from geometric means of opposite sides."""
 

@@ -108,9 +108,10 @@ SELECT cand_id, round({snap_sql('est')}, 6) AS by_sides,
   round(CASE WHEN abs((least(gw,gh)/greatest(0.0001,greatest(gw,gh)))/{A4P}-1) <= 0.2 THEN CASE WHEN gw > gh THEN {A4L} ELSE {A4P} END END, 6) AS by_means FROM e""")
 def quad_paper_ratio(spark, sf):
     o = fx.candidate_quads(spark, sf).withColumn("o", g.order_corners(F.col("corners")))
-    s = g.side_lengths(F.col("o"))
+    o, s = o.withColumn("s", g.side_lengths(F.col("o"))), F.col("s")
+    means = g.sides_paper_ratio(s["top"], s["bottom"], s["left"], s["right"])
     return o.filter(F.greatest(s["left"], s["right"]) > 0).select(
-        "cand_id", r6(g.quad_paper_ratio(F.col("o")), "by_sides"), r6(g.quad_paper_ratio_gm(F.col("o")), "by_means")
+        "cand_id", r6(g.ratio_of_sides(s), "by_sides"), r6(means, "by_means")
     )
 
 

@@ -75,8 +75,10 @@ def neutral_colors(px: DataFrame, mask: str) -> DataFrame:
 
 
 def _saturation(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
-    rgb = point.lab_to_rgb(l, a, b)
-    return point.rgb_to_hsv(rgb["r"], rgb["g"], rgb["b"])["sat"]
+    def of(s: Column) -> Column:
+        return point.rgb_to_hsv(s["rgb"]["r"], s["rgb"]["g"], s["rgb"]["b"])["sat"]
+
+    return point.let({"rgb": point.lab_to_rgb(l, a, b)}, of)
 
 
 def with_richness(px: DataFrame, sat: str, l: str, paper: str) -> DataFrame:  # noqa: E741
@@ -92,17 +94,20 @@ def restore_saturation(px: DataFrame) -> DataFrame:
     rich = F.col("richness")
 
     def lifted(r, g, b, l, ref, paper, accent, colored):  # noqa: E741
-        hsv = point.rgb_to_hsv(r, g, b)
         weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ref - 10.0) / 34.0))
-        floor = ref * (F.lit(0.40) + weight * 0.24 + rich * 0.24)
         floor = F.greatest(
-            floor,
+            ref * (F.lit(0.40) + weight * 0.24 + rich * 0.24),
             F.when(accent > 0, ref * (F.lit(0.74) + rich * 0.18)).otherwise(0.0),
             F.when(colored > 0, ref * (F.lit(0.50) + rich * 0.18)).otherwise(0.0),
         )
         lift = ((paper == 0) | (colored > 0)) & (l > 48) & (ref > 10)
-        sat = F.when(lift, F.greatest(hsv["sat"].cast("double"), floor)).otherwise(hsv["sat"].cast("double"))
-        return {"hue": hsv["hue"], "sat": point.to_byte(sat), "val": hsv["val"]}
+        least = F.when(lift, floor).otherwise(F.lit(0.0))
+
+        def raised(s: Column) -> Column:
+            sat = point.to_byte(F.greatest(s["hsv"]["sat"].cast("double"), s["least"]))
+            return F.struct(s["hsv"]["hue"].alias("hue"), sat.alias("sat"), s["hsv"]["val"].alias("val"))
+
+        return point.let({"hsv": point.rgb_to_hsv(r, g, b), "least": least}, raised)
 
     toned = map_planes(
         px, ["r", "g", "b", "l", "ref_sat", "paper", "accent", "paper_color"], lifted, ["hue", "sat", "val"]

@@ -13,6 +13,8 @@ RESULT_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Raster stages do much work per byte, so small shuffles are still worth spreading.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
