@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom.schema import DOCUMENTS, MANIFEST, PAGES
 
-CURRENT = "_CURRENT"
+CURRENT = "CURRENT"
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -44,9 +44,11 @@ class EditLog(StatefulProcessor):
                         out.append((key[0], known[0], command.ts, command.seq, turns, chosen))
                 self._pages.clear()
                 self._all.clear()
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        frame["page_id"] = frame["page_id"].astype("Int64")
-        yield frame
+        # Object columns first: ids beside NULLs would pass through floats and lose digits.
+        frame = pd.DataFrame(out, columns=COLUMNS, dtype=object)
+        yield frame.astype({c: "Int64" for c in ("document_id", "page_id", "applied_seq", "turns")}).astype(
+            {"applied_ts": "datetime64[ns]"}
+        )
 
     def _of(self, page) -> tuple[int, str | None]:
         return tuple(self._pages.getValue(page)) if self._pages.containsKey(page) else (0, None)

@@ -77,7 +77,8 @@ class CaptureCounter(StatefulProcessor):
             out.append(("page", document, document * PAGES_PER_SESSION + int(capture.seq), n, image))
             n += 1
         self._count.update((n,))
-        frame = pd.DataFrame(out, columns=["what", "document_id", "page_id", "sort_order", "image_path"])
+        # Object columns first: ids beside NULLs would pass through floats and lose digits.
+        frame = pd.DataFrame(out, columns=["what", "document_id", "page_id", "sort_order", "image_path"], dtype=object)
         yield frame.astype({"document_id": "Int64", "page_id": "Int64", "sort_order": "Int64"})
 
     def close(self) -> None:
