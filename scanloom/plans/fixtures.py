@@ -308,24 +308,30 @@ def page_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(PIXEL_ROWS - 1))).alias("y"),
     )
     y = F.col("y")
+    # Everything that does not depend on x is computed once per line.
+    rows = rows.select(
+        "page_id", "y",
+        ((y * 13 + k * 17) % 19).cast("int").alias("_ink"),
+        ((y * 2 + k * 11) % 90).cast("int").alias("_r"),
+        ((y * 2 + k * 7) % 90).cast("int").alias("_g"),
+        ((y * 2 + k * 5) % 90).cast("int").alias("_b"),
+        (40 + k % 30).cast("int").alias("_dark"),
+        (120 + k % 50).cast("int").alias("_blue"),
+    )
 
-    def channel(ink: Column, paper, ink_at) -> Column:
+    def channel(ink: str, base: int, start: str) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.lit(PIXEL_COLS - 1)),
-            lambda x: F.when(ink_at(x), ink).otherwise(paper(x)).cast("int"),
+            lambda x: F.when((x * 7 + F.col("_ink")) % 19 == 0, F.col(ink)).otherwise(base + (x * 3 + F.col(start)) % 90),
         )
 
-    def ink_at(x: Column) -> Column:
-        return (x * 7 + y * 13 + k * 17) % 19 == 0
-
     lines = rows.select(
-        "page_id",
-        "y",
+        "page_id", "y",
         F.lit(PIXEL_ROWS).alias("h"),
         F.lit(PIXEL_COLS).alias("w"),
-        channel(40 + k % 30, lambda x: 150 + (x * 3 + y * 2 + k * 11) % 90, ink_at).alias("r"),
-        channel(40 + k % 30, lambda x: 145 + (x * 3 + y * 2 + k * 7) % 90, ink_at).alias("g"),
-        channel(120 + k % 50, lambda x: 135 + (x * 3 + y * 2 + k * 5) % 90, ink_at).alias("b"),
+        channel("_dark", 150, "_r").alias("r"),
+        channel("_dark", 145, "_g").alias("g"),
+        channel("_blue", 135, "_b").alias("b"),
     )
     return to_bands(lines)
 
