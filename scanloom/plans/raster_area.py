@@ -307,7 +307,8 @@ def tone_levels(spark, sf):
 u AS (SELECT page_id, y, x, q, CASE WHEN paper = 1 THEN greatest(q, 171) ELSE q END AS floored FROM t) """ + text_sql("u", "q", "floored"))
 def quantized_pixels(spark, sf):
     px = to_lab(rasters(spark, sf)).withColumn("levels", F.lit([30, 120, 171, 240]))
-    px = map_planes(px, ["l"], lambda v: {"q": tone.quantize(v, F.col("levels"), "truncate"), "paper": masks.above(v, 120)}, ["q", "paper"])
+    px = px.withColumn("cuts", tone.cuts(F.col("levels"), "truncate"))
+    px = map_planes(px, ["l"], lambda v: {"q": tone.quantize(v, F.col("levels"), F.col("cuts")), "paper": masks.above(v, 120)}, ["q", "paper"])
     return as_text(map_planes(px, ["q", "paper"], lambda q, p: tone.paper_floor(q, p, F.col("levels")), ["floored"]), "q", "floored")
 
 

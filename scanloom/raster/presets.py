@@ -174,12 +174,9 @@ def _bw(px: DataFrame) -> DataFrame:
     px = cut(nb.gaussian(px, "v", nb.BLUR3, "v"))
     hist = stats.histogram(px, "v")
     levels = tone.tone_levels(hist, stats.tone_count(hist))
-    px = map_planes(
-        attach(px, levels),
-        ["v", "paper"],
-        lambda v, paper: tone.paper_floor(tone.quantize(v, F.col("levels")), paper, F.col("levels")),
-        ["v"],
-    )
+    px = attach(px, levels).withColumn("_cuts", tone.cuts(F.col("levels")))
+    px = map_planes(px, ["v"], lambda v: tone.quantize(v, F.col("levels"), F.col("_cuts")), ["v"])
+    px = map_planes(px, ["v", "paper"], lambda v, paper: tone.paper_floor(v, paper, F.col("levels")), ["v"])
     return px.select(*POSITION, "doubled", "v")
 
 

@@ -167,15 +167,18 @@ def tone_levels(hist: DataFrame, tones: DataFrame) -> DataFrame:
     return joined.select(*stats.PAGE, "tones", levels.alias("levels"))
 
 
-def quantize(v: Column, levels: Column, mode: str = "round") -> Column:
-    """Level whose range holds ``v``; cuts halfway between levels (rounded half to even, or truncated)."""
-    def cut(i: Column) -> Column:
-        middle = (F.get(levels, i) + F.get(levels, i + 1)) / 2
-        return F.rint(middle) if mode == "round" else F.floor(middle)
-
-    steps = F.sequence(F.lit(0), F.size(levels) - 2)
-    passed = F.aggregate(steps, F.lit(0), lambda n, i: n + (v >= cut(i)).cast("int"))
-    return F.get(levels, passed)
+def cuts(levels: Column, mode: str = "round") -> Column:
+    """Values at which a pixel moves to the next level: halfway, rounded half to even or truncated."""
+    def halfway(low: Column, i: Column) -> Column:
+        middle = (low + F.get(levels, i + 1)) / 2
+        return (F.rint(middle) if mode == "round" else F.floor(middle)).cast("int")
+
+    return F.transform(F.slice(levels, F.lit(1), F.size(levels) - 1), halfway)
+
+
+def quantize(v: Column, levels: Column, at: Column) -> Column:
+    """Level whose range holds ``v``, given the page's ``cuts``."""
+    return F.get(levels, F.size(F.filter(at, lambda c: v >= c)))
 
 
 def paper_floor(v: Column, mask: Column, levels: Column) -> Column:
