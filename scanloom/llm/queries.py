@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import chat, line_dedup
+from scanloom.llm import bpe, chat, line_dedup
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -94,6 +95,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_bpe")
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode_texts(docs, path)
+    decoded = bpe.decode_ids(encoded, path)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def all_queries():
     return dict(QUERIES)
 
