@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import bpe, chat, line_dedup, packing, token_files
+from scanloom.llm import bpe, chat, language, line_dedup, packing, quality, token_files
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -107,6 +107,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
