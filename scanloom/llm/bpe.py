@@ -24,13 +24,14 @@ import unicodedata
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from scanloom.llm.common import ship
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 500_000
 MEMO_CHARS = 48
 BLOCK_CHARS = 1 << 16
 NO_RULE = 1 << 63
@@ -281,10 +282,13 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [list(make.encode(t)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"]
-                )
+                ends, ids = [0], []
+                for text in part.column(1).to_pylist():
+                    ids.append(np.fromiter(make.encode(text), np.int32))
+                    ends.append(ends[-1] + len(ids[-1]))
+                flat = pa.array(np.concatenate(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -301,7 +305,9 @@ def decode_ids(tokens: DataFrame, path: str, ids_col: str = "ids", keep: list[st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [machine.decode(ids or ()) for ids in part.column(len(keep)).to_pylist()]
+                lists = part.column(len(keep))
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                texts = [machine.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
                 arrays = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
