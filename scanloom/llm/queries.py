@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import bpe, chat, language, line_dedup, packing, quality, token_files
+from scanloom.llm import ann, bpe, chat, language, line_dedup, packing, quality, token_files
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -136,6 +136,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, lambda i: i % 20 == 0, k=20)
+
+
 def all_queries():
     return dict(QUERIES)
 
