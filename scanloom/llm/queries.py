@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import ann, bpe, chat, language, line_dedup, packing, quality, token_files
+from scanloom.llm import ann, bpe, chat, language, line_dedup, minhash, packing, quality, token_files
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=3, num=85, den=100)
+
+
 @query(
     "op2_line_dedup",
     r"""
