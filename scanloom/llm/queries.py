@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import ann, bpe, chat, language, line_dedup, minhash, packing, quality, token_files
+from scanloom.llm import ann, bpe, chat, fingerprints, language, line_dedup, minhash, packing, quality, token_files
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -113,6 +113,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
