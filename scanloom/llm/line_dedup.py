@@ -24,7 +24,7 @@ def _key(line: Column) -> Column:
 
 
 def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("_a"), F.xxhash64(F.lit("line"), key).alias("_b")]
+    return [F.xxhash64(key).alias("_ld_a"), F.xxhash64(F.lit("line"), key).alias("_ld_b")]
 
 
 def dedup_lines(
@@ -44,38 +44,38 @@ def dedup_lines(
     last = F.lit((1 << 63) - 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
-    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col), last)).withColumn("_row", F.xxhash64(text))
+    rows = docs.withColumn("_ld_doc", F.coalesce(F.col(id_col), last)).withColumn("_ld_row", F.xxhash64(text))
     own = (
-        rows.select("_doc", "_row", F.posexplode(lines).alias("_at", "_line"))
-        .select("_doc", "_row", "_at", _key(F.col("_line")).alias("_key"))
-        .filter(F.length("_key") >= min_chars)
-        .select("_doc", "_row", "_at", *_hashes(F.col("_key")))
+        rows.select("_ld_doc", "_ld_row", F.posexplode(lines).alias("_ld_at", "_ld_line"))
+        .select("_ld_doc", "_ld_row", "_ld_at", _key(F.col("_ld_line")).alias("_ld_key"))
+        .filter(F.length("_ld_key") >= min_chars)
+        .select("_ld_doc", "_ld_row", "_ld_at", *_hashes(F.col("_ld_key")))
     )
     several = (
-        F.min("_doc") < F.max("_doc") if min_docs == 2 else F.count_distinct("_doc") >= min_docs
+        F.min("_ld_doc") < F.max("_ld_doc") if min_docs == 2 else F.count_distinct("_ld_doc") >= min_docs
     )
     shared = (
-        own.groupBy("_a", "_b")
-        .agg(F.min("_doc").alias("_first"), several.alias("_several"))
-        .filter("_several")
-        .select("_a", "_b", "_first")
+        own.groupBy("_ld_a", "_ld_b")
+        .agg(F.min("_ld_doc").alias("_ld_first"), several.alias("_ld_several"))
+        .filter("_ld_several")
+        .select("_ld_a", "_ld_b", "_ld_first")
     )
     dropped = (
-        own.join(shared, ["_a", "_b"])
-        .filter(F.col("_doc") > F.col("_first"))
-        .groupBy("_doc", "_row")
-        .agg(F.collect_list("_at").alias("_gone"))
+        own.join(shared, ["_ld_a", "_ld_b"])
+        .filter(F.col("_ld_doc") > F.col("_ld_first"))
+        .groupBy("_ld_doc", "_ld_row")
+        .agg(F.collect_list("_ld_at").alias("_ld_gone"))
     )
     # array_except works by hash set, so a text of many lines costs time in proportion to them.
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    every = F.sequence(F.lit(0), F.size("_ld_lines") - 1)
     return (
-        rows.join(dropped, ["_doc", "_row"], "left")
-        .withColumn("_lines", lines)
-        .withColumn("_kept", F.array_except(every, F.coalesce("_gone", F.array().cast("array<int>"))))
+        rows.join(dropped, ["_ld_doc", "_ld_row"], "left")
+        .withColumn("_ld_lines", lines)
+        .withColumn("_ld_kept", F.array_except(every, F.coalesce("_ld_gone", F.array().cast("array<int>"))))
         .select(
             *[c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")],
-            F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n").alias(text_col),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+            F.array_join(F.transform("_ld_kept", lambda i: F.get("_ld_lines", i)), "\n").alias(text_col),
+            F.size("_ld_lines").cast("long").alias("n_lines"),
+            (F.size("_ld_lines") - F.size("_ld_kept")).cast("long").alias("n_dropped"),
         )
     )

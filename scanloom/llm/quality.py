@@ -174,6 +174,21 @@ def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     return stats.select(*keep, "stats").mapInArrow(run, f"{schema}, score double")
 
 
+def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, whole and unshuffled."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                x = np.array([statistics(t) for t in part.column(at).to_pylist()]).reshape(-1, len(STATISTICS))
+                yield part.filter(pa.array(model.scores(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, buckets: int, bucket: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % buckets == bucket, F.lit(False))
 
