@@ -248,7 +248,8 @@ class IncrementalDecoder:
         self.begin()
         if not self.byte_level:
             return "".join(map(self.spaced.get_text, ids))[1:]
-        return "".join(chain(map(self.push, ids), (self.finish(),)))
+        text = "".join(map(self.push, ids))
+        return text + self.finish()
 
 
 class _Spaced(dict):
