@@ -30,10 +30,12 @@ from scanloom.llm.common import ship
 from scanloom.llm.quality import held_out
 from scanloom.llm.tokens import batches_of
 
+# About so many documents of each language are learned from, picked by a hash of their id.
+LEARNED_DOCS = 5_000
 SMOOTHING = 0.1
 WORD_CHARS = 40
 PIECE_CHARS = 12
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 BATCH_CHARS = 1 << 22
 BEGIN = "▁"
 UNDETERMINED = "und"
@@ -117,8 +119,15 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def piece_counts(docs: DataFrame, path: str, lang_col: str = "lang", text_col: str = "text") -> list:
-    """(language, piece, expected count) over all rows with a language."""
+def piece_counts(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    lang_col: str = "lang",
+    text_col: str = "text",
+    learned: int = LEARNED_DOCS,
+) -> list:
+    """(language, piece, expected count) over the rows that are learned from."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -144,6 +153,13 @@ def piece_counts(docs: DataFrame, path: str, lang_col: str = "lang", text_col: s
             )
 
     picked = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    # One count per language gives each its rate.
+    counts = {str(lang): n for lang, n in picked.groupBy(lang_col).count().collect()}
+    rates = {lang: min(1.0, learned / n) for lang, n in counts.items()}
+    if any(rate < 1.0 for rate in rates.values()):
+        rate = F.create_map(*(F.lit(x) for item in rates.items() for x in item))
+        drawn = F.pmod(F.xxhash64(F.lit("learn"), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        picked = picked.filter(drawn < rate[F.col(lang_col).cast("string")])
     rows = picked.select(F.col(lang_col).cast("string"), text_col).mapInArrow(
         run, "lang string, piece int, times double"
     )
@@ -221,11 +237,31 @@ def predict(docs: DataFrame, model: Languages, path: str, id_col: str = "doc_id"
     )
 
 
+def keep_identified(
+    docs: DataFrame, model: Languages, path: str, text_col: str = "text", least: float = 0.5
+) -> DataFrame:
+    """The rows of ``docs`` with a language of a score of at least ``least``, whole and unshuffled."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model, path)
+        for batch in batches:
+            for first, texts in batches_of(batch.column(at).to_pylist(), BATCH_CHARS):
+                said = [lang != UNDETERMINED and score >= least for lang, score in scorer.predict(texts)]
+                yield batch.slice(first, len(said)).filter(pa.array(said, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+    return Languages(piece_counts(docs, path, id_col, lang_col, text_col), len(vocabulary(path)))
+
+
 def identify(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """``id_col``, ``held_out``, ``lang_pred`` and ``score``; learns from the rows not held out."""
     away = held_out(id_col, 4, 2)
-    counts = piece_counts(docs.filter(~away), path, lang_col, text_col)
-    model = Languages(counts, len(vocabulary(path)))
+    model = learn(docs.filter(~away), path, id_col, text_col, lang_col)
     return predict(docs, model, path, id_col, text_col).withColumn("held_out", away)
