@@ -10,13 +10,20 @@ from scanloom.schema import NAME_PREFIX
 UNSAFE_IN_FILE_NAME = r'[/\\:*?"<>|]'
 NOT_KEPT_IN_PREVIEW_NAME = r"[^A-Za-z0-9_-]"
 FALLBACK_FILE_NAME = "document"
+# Unicode's white space, as a class that Java's and RE2's patterns both take.
+WHITE_SPACE = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trim(name: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(name, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def safe_file_name(name: Column, trim_first: bool = False) -> Column:
     """Replace path-unsafe characters; a blank result becomes the fallback name."""
-    source = F.btrim(name) if trim_first else name
+    source = trim(name) if trim_first else name
     cleaned = F.regexp_replace(source, UNSAFE_IN_FILE_NAME, "_")
-    return F.when(F.length(F.btrim(cleaned)) == 0, F.lit(FALLBACK_FILE_NAME)).otherwise(cleaned)
+    return F.when(F.length(trim(cleaned)) == 0, F.lit(FALLBACK_FILE_NAME)).otherwise(cleaned)
 
 
 def preview_base_name(file_name: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scanloom import scale
 from scanloom.functions.geometry import center_square, fit_dims, sample_size
 from scanloom.functions.text import request_key, working_key, working_prefix
+from scanloom.operators.catalog import last_per_key
 
 # Cache limit, kept share, preview sizes and qualities.
 WORKING_CACHE_BYTES = 100 * 1024 * 1024
@@ -152,7 +153,8 @@ def reconcile(pages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
     A failed render clears both paths and deletes nothing.
     """
     columns = pages.columns
-    joined = pages.join(results.withColumnRenamed("page_id", "id").withColumn("_hit", F.lit(True)), "id", "left")
+    last = last_per_key(results, ["page_id"])
+    joined = pages.join(last.withColumnRenamed("page_id", "id").withColumn("_hit", F.lit(True)), "id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     ok = hit & ~F.coalesce("failed", F.lit(False))
 
@@ -183,8 +185,9 @@ def reconcile(pages: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
 def swap_applied_previews(pages: DataFrame, new_paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replace both previews of ``new_paths(page_id, new_small, new_large)``; every old file goes."""
     columns = pages.columns
-    joined = pages.join(new_paths.withColumnRenamed("page_id", "id"), "id", "left")
-    hit = F.col("new_small").isNotNull()
+    last = last_per_key(new_paths, ["page_id"])
+    joined = pages.join(last.withColumnRenamed("page_id", "id").withColumn("_hit", F.lit(True)), "id", "left")
+    hit = F.coalesce("_hit", F.lit(False))
     swapped = joined.withColumns(
         {
             "small_preview_path": F.when(hit, F.col("new_small")).otherwise(F.col("small_preview_path")),

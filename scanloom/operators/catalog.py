@@ -130,9 +130,21 @@ def collect_pages(pages: DataFrame, fields: list[str], per_part: int = PAGES_PER
     )
 
 
+def last_per_key(commands: DataFrame, keys: list[str]) -> DataFrame:
+    """One command per key: the one with the highest ``seq`` where there is one, else the greatest."""
+    rest = [c for c in commands.columns if c not in keys]
+    order = [F.col("seq")] if "seq" in rest else []
+    order += [F.col(c) for c in sorted(rest) if c != "seq"]
+    picked = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order))
+    return commands.groupBy(*keys).agg(picked.alias("_last")).select(*keys, "_last.*")
+
+
 def order_with_missing(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pages in the order of ``ids(document_id, page_id, position)``; unlisted ones keep their order after."""
-    listed = ids.select(F.col("page_id").alias("id"), "document_id", F.col("position").cast("long").alias("_at"))
+    """Pages in the order of ``ids(document_id, page_id, position)``; unlisted ones keep their order after.
+
+    A page listed twice stands at its last position.
+    """
+    listed = ids.groupBy(F.col("page_id").alias("id"), "document_id").agg(F.max("position").cast("long").alias("_at"))
     joined = pages.join(listed, ["document_id", "id"], "left")
     unlisted = F.col("_at").isNull()
     bucket = F.struct(

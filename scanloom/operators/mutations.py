@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom import scale
-from scanloom.functions.text import default_name
+from scanloom.functions.text import default_name, trim
 from scanloom.operators.artefacts import asset_deletes, with_exists
-from scanloom.operators.catalog import number_pages, renumber, with_page_defaults
+from scanloom.operators.catalog import last_per_key, number_pages, renumber, with_page_defaults
 
 
 def touch(documents: DataFrame, changed: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def create_documents(documents: DataFrame, new: DataFrame, now: Column) -> DataF
 def rename(documents: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
     """``commands(document_id, name, seq)``: names are trimmed, blank ones ignored."""
     wanted = (
-        commands.withColumn("name", F.btrim("name"))
+        commands.withColumn("name", trim(F.col("name")))
         .filter(F.length("name") > 0)
         .groupBy(F.col("document_id").alias("id"))
         .agg(F.max_by("name", "seq").alias("_name"))
@@ -128,14 +128,13 @@ def reorder(
 ) -> tuple[DataFrame, DataFrame]:
     """``orders(document_id, page_id, position)``: listed pages take their index, others keep theirs.
 
-    ``same_document=False`` also moves pages listed under a document they do not belong to.
+    A page listed twice takes its last index.     ``same_document=False`` also moves pages listed under a document they do not belong to.
     """
     columns = pages.columns
-    listed = orders.select("document_id", F.col("page_id").alias("id"), F.col("position").cast("int").alias("_to"))
-    if same_document:
-        joined = pages.join(listed, ["document_id", "id"], "left")
-    else:
-        joined = pages.join(listed.drop("document_id"), "id", "left")
+    listed = orders.withColumnRenamed("page_id", "id")
+    keys = ["document_id", "id"] if same_document else ["id"]
+    last = listed.groupBy(*keys).agg(F.max("position").cast("int").alias("_to"))
+    joined = pages.join(last, keys, "left")
     moved = joined.withColumn("sort_order", F.coalesce("_to", "sort_order")).select(*columns)
     return touch(documents, _at(orders, now)), moved
 
@@ -143,7 +142,7 @@ def reorder(
 def move(
     documents: DataFrame, pages: DataFrame, commands: DataFrame, now: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """``commands(document_id, source, destination)``, one per document: take a page out, put it back elsewhere.
+    """``commands(document_id, source, destination, seq?)``, the last per document: take a page out, put it back elsewhere.
 
     Out-of-range and no-op moves leave the document alone. The pages between source and destination
     shift by one, so no list is ever built.
@@ -151,7 +150,7 @@ def move(
     columns = pages.columns
     counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
     src, dst, pos = F.col("source"), F.col("destination"), F.col("_pos")
-    valid = commands.join(counts, "document_id").filter(
+    valid = last_per_key(commands, ["document_id"]).join(counts, "document_id").filter(
         src.between(0, F.col("_n") - 1) & dst.between(0, F.col("_n") - 1) & (src != dst)
     )
     numbered = number_pages(pages, "_pos").join(valid.drop("_n"), "document_id", "left")
@@ -197,12 +196,12 @@ def set_document_filter(documents: DataFrame, pages: DataFrame, commands: DataFr
 def apply_edits(
     documents: DataFrame, pages: DataFrame, edits: DataFrame, inventory: DataFrame, now: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Write ``edits(page_id, filter_name, rotation_degrees)``; also return the pages to render again.
+    """Write ``edits(page_id, filter_name, rotation_degrees, seq?)``; also return the pages to render again.
 
     A page is rendered again when its edit changed something or one of its previews is missing.
     """
     columns = pages.columns
-    wanted = edits.select(
+    wanted = last_per_key(edits, ["page_id"]).select(
         F.col("page_id").alias("id"), F.col("filter_name").alias("_f"), F.col("rotation_degrees").alias("_r")
     )
     edited = pages.join(wanted, "id").withColumn(

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from scanloom.functions import geometry as g
 
-# How many candidates are looked at, and the least share of the image they must cover.
-LOW_RES_CANDIDATES, HIGH_RES_CANDIDATES, MIN_AREA = 20, 10, 0.05
-DOCS_CANDIDATES, DOCS_MIN_AREA = 40, 0.15
-DETECTION_SIDE = 500
+# The least share of the image that a candidate must cover. How many candidates are
+# looked at is for the caller to say.
+MIN_AREA = 0.05
+DOCS_MIN_AREA = 0.15
 
 
 def with_area(quads: DataFrame) -> DataFrame:
@@ -22,18 +22,14 @@ def _largest(df: DataFrame, n) -> DataFrame:
     return df.withColumn("area_rank", F.row_number().over(by_area)).filter(F.col("area_rank") <= n)
 
 
-def top_candidates_by_area(quads: DataFrame, n: int | None = None, min_ratio: float = MIN_AREA) -> DataFrame:
-    """Area floor first, then the largest ``n`` (by default 20 for small images, 10 for large ones)."""
+def top_candidates_by_area(quads: DataFrame, n: int, min_ratio: float = MIN_AREA, limit_col: str | None = None) -> DataFrame:
+    """Area floor first, then the largest ``n`` per image, or fewer where ``limit_col`` of the row says so."""
     big = quads.filter(F.col("area") >= F.col("img_w") * F.col("img_h") * min_ratio)
-    if n is not None:
-        return _largest(big, n)
-    small = F.greatest("img_w", "img_h") <= DETECTION_SIDE
-    most = max(LOW_RES_CANDIDATES, HIGH_RES_CANDIDATES)
-    limit = F.when(small, LOW_RES_CANDIDATES).otherwise(HIGH_RES_CANDIDATES)
-    return _largest(big, most).filter(F.col("area_rank") <= limit)
+    largest = _largest(big, n)
+    return largest if limit_col is None else largest.filter(F.col("area_rank") <= F.col(limit_col))
 
 
-def top_candidates_docs(quads: DataFrame, n: int = DOCS_CANDIDATES, min_ratio: float = DOCS_MIN_AREA) -> DataFrame:
+def top_candidates_docs(quads: DataFrame, n: int, min_ratio: float = DOCS_MIN_AREA) -> DataFrame:
     """The largest ``n`` first, then the area floor."""
     return _largest(quads, n).filter(F.col("area") >= F.col("img_w") * F.col("img_h") * min_ratio)
 

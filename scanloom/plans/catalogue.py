@@ -176,18 +176,21 @@ def page_numbers(spark, sf):
 
 
 def listed_order(spark, sf):
-    """A new order that names the pages with a large preview, last first."""
+    """A new order that names the pages with a large preview, last first, and every third of them twice."""
     p = fx.pages(spark, sf).filter(F.col("large_preview_path").isNotNull())
     flipped = p.select("document_id", F.col("id").alias("page_id"), (-F.col("sort_order")).alias("back"), "id")
     from scanloom import scale
 
-    return scale.number_rows(
+    once = scale.number_rows(
         flipped, ["document_id"], scale.span_bucket(F.col("back")), ["back", "id"], "position"
     ).select("document_id", "page_id", "position")
+    again = once.filter(F.col("page_id") % 3 == 0).withColumn("position", F.col("position") + 100)
+    return once.unionByName(again)
 
 
 LISTED = """listed AS (SELECT document_id, id AS page_id,
-  row_number() OVER (PARTITION BY document_id ORDER BY sort_order DESC, id) - 1 AS position
+  row_number() OVER (PARTITION BY document_id ORDER BY sort_order DESC, id) - 1
+    + CASE WHEN id % 3 = 0 THEN 100 ELSE 0 END AS position
   FROM scan_pages WHERE large_preview_path IS NOT NULL)"""
 
 
@@ -285,12 +288,13 @@ def create_documents(spark, sf):
 
 
 def rename_commands(spark, sf):
-    """Open orders get a padded new name, finished ones a blank, the rest a name for an unknown document."""
+    """Open orders get a new name padded with white space of several kinds, finished ones a blank of
+    full-width spaces, the rest a name for an unknown document."""
     return fx.table(spark, sf, "orders").select(
         F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey") + 2000000000)
         .otherwise(F.col("o_orderkey")).alias("document_id"),
-        F.when(F.col("o_orderstatus") == "F", "   ")
-        .otherwise(F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).alias("name"),
+        F.when(F.col("o_orderstatus") == "F", " \u3000\u00a0")
+        .otherwise(F.concat(F.lit("\t\u3000 "), "o_orderpriority", F.lit("\n\u2003"))).alias("name"),
         F.col("o_custkey").alias("seq"),
     )
 

@@ -88,14 +88,17 @@ RANKED = f"SELECT image_id, cand_id, img_w, img_h, {AREA} AS area FROM quads"
   AS area_rank FROM r WHERE area >= img_w*img_h*0.05)
 SELECT image_id, cand_id, area, area_rank FROM k WHERE area_rank <= CASE WHEN greatest(img_w, img_h) <= 500 THEN 20 ELSE 10 END""")
 def top_candidates(spark, sf):
-    return qd.top_candidates_by_area(_quads(spark, sf)).select("image_id", "cand_id", "area", "area_rank")
+    # The app looks at 20 candidates of a small image and at 10 of a large one.
+    limit = F.when(F.greatest("img_w", "img_h") <= 500, 20).otherwise(10)
+    quads = _quads(spark, sf).withColumn("limit", limit)
+    return qd.top_candidates_by_area(quads, 20, limit_col="limit").select("image_id", "cand_id", "area", "area_rank")
 
 
 @query("top_candidates_docs", Q + f"""r AS ({RANKED}), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, cand_id)
   AS area_rank FROM r)
 SELECT image_id, cand_id, area, area_rank FROM k WHERE area_rank <= 40 AND area >= img_w*img_h*0.15""")
 def top_candidates_docs(spark, sf):
-    return qd.top_candidates_docs(_quads(spark, sf)).select("image_id", "cand_id", "area", "area_rank")
+    return qd.top_candidates_docs(_quads(spark, sf), 40).select("image_id", "cand_id", "area", "area_rank")
 
 
 GM = "sqrt(greatest(0.0001, {a}) * greatest(0.0001, {b}))"

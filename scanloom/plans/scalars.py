@@ -29,12 +29,21 @@ def r6(column, name):
     return F.round(column, 6).alias(name)
 
 
-@query("safe_file_name", r"""
-SELECT doc_id, CASE WHEN trim(c) = '' THEN 'document' ELSE c END AS plain, CASE WHEN trim(t) = '' THEN 'document' ELSE t END AS trimmed
-FROM (SELECT doc_id, regexp_replace(source || text, '[/\\:*?"<>|]', '_', 'g') AS c,
-  regexp_replace(trim(source || text), '[/\\:*?"<>|]', '_', 'g') AS t FROM documents) q""")
+WS = tx.WHITE_SPACE
+NAMED = """CASE doc_id % 5 WHEN 0 THEN chr(12288) || chr(9) WHEN 1 THEN chr(12288) || source || text || chr(8195) || chr(10)
+  ELSE source || text END"""
+
+
+@query("safe_file_name", rf"""
+SELECT doc_id, CASE WHEN regexp_matches(c, '^{WS}*$') THEN 'document' ELSE c END AS plain,
+  CASE WHEN regexp_matches(t, '^{WS}*$') THEN 'document' ELSE t END AS trimmed
+FROM (SELECT doc_id, regexp_replace(n, '[/\\:*?"<>|]', '_', 'g') AS c,
+  regexp_replace(regexp_replace(n, '^{WS}+|{WS}+$', '', 'g'), '[/\\:*?"<>|]', '_', 'g') AS t
+  FROM (SELECT doc_id, {NAMED} AS n FROM documents) d) q""")
 def safe_file_name(spark, sf):
-    name = F.concat("source", "text")
+    whole, kind = F.concat("source", "text"), F.col("doc_id") % 5
+    # Blank and padded names, with a full-width space, an em space, a tab and a line end.
+    name = F.when(kind == 0, "\u3000\t").when(kind == 1, F.concat(F.lit("\u3000"), whole, F.lit("\u2003\n"))).otherwise(whole)
     return fx.table(spark, sf, "documents").select(
         "doc_id", tx.safe_file_name(name).alias("plain"), tx.safe_file_name(name, trim_first=True).alias("trimmed")
     )
