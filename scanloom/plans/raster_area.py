@@ -295,6 +295,11 @@ def quantization_sample(spark, sf):
     return tone.quantization_sample(hist, SAMPLE_BRIGHT, SAMPLE_CAP).select("page_id", "v", "n")
 
 
+@query("whole_quantization_sample", P + f""", {GRAY_PX} SELECT page_id, v, count(*) AS n FROM gray GROUP BY 1, 2""")
+def whole_quantization_sample(spark, sf):
+    return tone.quantization_sample(stats.histogram(with_luma(spark, sf), "v")).select("page_id", "v", "n")
+
+
 @query("tone_levels")
 def tone_levels(spark, sf):
     hist = stats.histogram(with_luma(spark, sf), "v")

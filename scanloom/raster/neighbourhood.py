@@ -199,9 +199,18 @@ def min_max_normalise(px: DataFrame, plane: str, name: str) -> DataFrame:
 
 # --- illumination --------------------------------------------------------------------------------
 
-# The surface varies over at least 12 pixels, so it is estimated on a grid of cells a quarter as wide.
-CELL = 3
+# The closing element is a 24th of the shorter side (15 at least), the blur an 18th of
+# it (12 at least). Both are taken on a grid of cells a quarter of the blur wide, where the blur is
+# always the same and the element spans 5 cells on small pages and 3 on others.
 SURFACE_KERNEL = gaussian_kernel(25, 4.0)
+SMALLEST_CELL, CELLS_PER_SIDE = 3, 72
+SMALL_SIDE = 270
+
+
+def surface_cell(h: Column, w: Column) -> Column:
+    """Width in pixels of the illumination cells of a page."""
+    side = F.least(h, w)
+    return F.greatest(F.lit(SMALLEST_CELL), F.floor(side / CELLS_PER_SIDE + 0.5).cast("int"))
 
 
 def downscale(px: DataFrame, plane: str, k: int, name: str) -> DataFrame:
@@ -219,39 +228,49 @@ def downscale(px: DataFrame, plane: str, k: int, name: str) -> DataFrame:
     )
 
 
-def _cell_lines(px: DataFrame, plane: str, k: int) -> DataFrame:
-    """Block means as scanlines of the cell grid, built line by line without exploding pixels."""
-    cols = F.ceil(F.col("w") / k).cast("int")
+def _cell_lines(px: DataFrame, plane: str) -> DataFrame:
+    """Block means as scanlines of the cell grid, built line by line without exploding pixels.
+
+    Columns: page_id, y, h, w (in cells), ``cell``, and per page ``_k`` (pixels per cell), ``_small``.
+    """
+    sized = px.filter("core").select(
+        "page_id", "y", plane, F.col("h").alias("_h"), F.col("w").alias("_w"), surface_cell(F.col("h"), F.col("w")).alias("_k")
+    )
+    k, cols = F.col("_k"), F.ceil(F.col("_w") / F.col("_k")).cast("int")
     line = F.transform(
         F.sequence(F.lit(0), cols - 1),
-        lambda c: F.aggregate(F.slice(plane, c * k + 1, F.lit(k)), F.lit(0).cast("long"), lambda s, v: s + v),
+        lambda c: F.aggregate(F.slice(plane, c * k + 1, k), F.lit(0).cast("long"), lambda s, v: s + v),
     )
     sums = (
-        px.filter("core")
-        .select("page_id", F.ceil(F.col("h") / k).cast("int").alias("h"), cols.alias("w"), F.col("w").alias("full_w"),
-                F.floor(F.col("y") / k).cast("int").alias("y"), line.alias("_line"))
-        .groupBy("page_id", "h", "w", "full_w", "y")
+        sized.select("page_id", "_k", "_h", "_w", F.floor(F.col("y") / k).cast("int").alias("y"), line.alias("_line"))
+        .groupBy("page_id", "_k", "_h", "_w", "y")
         .agg(F.collect_list("_line").alias("_lines"))
     )
 
     def mean(total: Column, c: Column) -> Column:
-        rest = F.aggregate(F.slice("_lines", 2, k), F.lit(0).cast("long"), lambda s, line: s + F.get(line, c))
-        width = F.least(F.lit(k), F.col("full_w") - c * k)
+        rest = F.aggregate(F.slice("_lines", F.lit(2), k), F.lit(0).cast("long"), lambda s, line: s + F.get(line, c))
+        width = F.least(k, F.col("_w") - c * k)
         return F.floor((total + rest) / (width * F.size("_lines")) + 0.5).cast("int")
 
     return sums.select(
-        "page_id", "y", "h", "w", F.transform(F.element_at("_lines", 1), mean).alias("cell")
+        "page_id", "y",
+        F.ceil(F.col("_h") / k).cast("int").alias("h"),
+        F.ceil(F.col("_w") / k).cast("int").alias("w"),
+        F.transform(F.element_at("_lines", 1), mean).alias("cell"),
+        "_k",
+        (F.least("_h", "_w") <= SMALL_SIDE).alias("_small"),
     )
 
 
-def illumination(px: DataFrame, plane: str, name: str, cell: int = CELL) -> DataFrame:
+def illumination(px: DataFrame, plane: str, name: str) -> DataFrame:
     """Smooth brightness surface of the paper: close dark strokes, blur, spread back over the page.
 
-    Computed on cells of ``cell`` pixels and interpolated between cell centres; an approximation of
-    closing and blurring at full size.
+    Element and blur follow the page's size. Computed on cells and interpolated between cell centres;
+    an approximation of closing and blurring at full size.
     """
-    cells = grid.to_bands(_cell_lines(px, plane, cell))
-    closed = close(cells, "cell", 5)
+    cells = grid.to_bands(_cell_lines(px, plane))
+    closed = close(close(cells.withColumn("_wide", F.col("cell")), "cell", 3), "_wide", 5)
+    closed = closed.withColumn("cell", F.when(F.col("_small"), F.col("_wide")).otherwise(F.col("cell"))).drop("_wide")
     smooth = gaussian(closed, "cell", SURFACE_KERNEL, "surface", border="replicate", whole=False)
     order = rows_in_order()
     ends = smooth.withColumns(
@@ -261,16 +280,16 @@ def illumination(px: DataFrame, plane: str, name: str, cell: int = CELL) -> Data
         }
     ).filter("core")
     # Each cell row yields its own image rows, mixed with the row above or below.
-    offset = F.col("_k")
-    rows = ends.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(cell - 1))))
-    away = (offset + 0.5) / cell - 0.5
+    rows = ends.withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    away = (F.col("_row") + 0.5) / F.col("_k") - 0.5
     mixed = F.when(
         away < 0, F.zip_with("surface", "_prev", lambda a, b: a * (1 + away) - b * away)
     ).otherwise(F.zip_with("surface", "_next", lambda a, b: a * (1 - away) + b * away))
-    surface = rows.select("page_id", (F.col("y") * cell + offset).cast("int").alias("y"), mixed.alias("_surface"))
+    at_row = (F.col("y") * F.col("_k") + F.col("_row")).cast("int")
+    surface = rows.select("page_id", at_row.alias("y"), mixed.alias("_surface"), "_k")
 
     def between(_, x: Column) -> Column:
-        at = (x + 0.5) / cell - 0.5
+        at = (x + 0.5) / F.col("_k") - 0.5
         left = F.floor(at).cast("int")
         last = F.size("_surface") - 1
         a = F.get(F.col("_surface"), F.greatest(F.lit(0), left))

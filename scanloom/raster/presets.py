@@ -150,9 +150,6 @@ def magic(px: DataFrame) -> DataFrame:
     return restore_saturation(px).select(*POSITION, *RGB)
 
 
-UPSCALE_BELOW = 1400
-
-
 def _bw(px: DataFrame) -> DataFrame:
     px = clean_lightness(px, ["paper", "dark"])
     px = map_planes(px, ["l"], lambda v: point.contrast(v, 1.48), ["strong_l"])
@@ -173,20 +170,20 @@ def _bw(px: DataFrame) -> DataFrame:
     px = map_planes(px, ["strong_l", "paper", "structure"], toned, ["v"]).drop("strong_l", "structure", "l")
     px = cut(nb.gaussian(px, "v", nb.BLUR3, "v"))
     hist = stats.histogram(px, "v")
-    levels = tone.tone_levels(hist, stats.tone_count(hist))
-    px = attach(px, levels).withColumn("_cuts", tone.cuts(F.col("levels")))
+    levels = tone.tone_levels(hist, stats.tone_count(hist)).withColumn("_cuts", tone.cuts(F.col("levels")))
+    px = attach(px, levels)
     px = map_planes(px, ["v"], lambda v: tone.quantize(v, F.col("levels"), F.col("_cuts")), ["v"])
     px = map_planes(px, ["v", "paper"], lambda v, paper: tone.paper_floor(v, paper, F.col("levels")), ["v"])
-    return px.select(*POSITION, "doubled", "v")
+    return px.select(*POSITION, "v")
 
 
-def document_bw(px: DataFrame) -> DataFrame:
-    """A few gray tones. Small pages are worked on at twice their size (nearest instead of cubic)."""
-    px = px.select(*POSITION, *RGB).withColumn("doubled", F.greatest("h", "w") < UPSCALE_BELOW)
-    small = resize_nearest(px.filter("doubled"), RGB, F.col("h") * 2, F.col("w") * 2, keep=["doubled"])
-    done = _bw(small.unionByName(px.filter(~F.col("doubled"))))
-    whole = done.filter(~F.col("doubled")).select(*POSITION, "v")
-    gray = halve(done.filter("doubled"), "v").unionByName(whole)
+def document_bw(px: DataFrame, upscale: int = 1) -> DataFrame:
+    """A few gray tones. With ``upscale=2`` every page of the call is worked on at twice its size
+    (nearest instead of cubic); pages under 1400 pixels gain most from it."""
+    px = px.select(*POSITION, *RGB)
+    if upscale not in (1, 2):
+        raise ValueError("upscale is 1 or 2")
+    gray = _bw(px) if upscale == 1 else halve(_bw(resize_nearest(px, RGB, F.col("h") * 2, F.col("w") * 2)), "v")
     return gray.select(*POSITION, *[F.col("v").alias(c) for c in RGB])
 
 

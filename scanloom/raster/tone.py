@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scanloom.raster import stats
 
-# Sample limits, and the allowed range of each level.
+# What counts as bright, and the allowed range of each level.
 BRIGHT = 224
-BRIGHT_MINIMUM = 12_000
-SAMPLE_LIMIT = 50_000
 TOP_LEVEL = 244
 ROUNDS = 32
+EVERY = 1 << 40
 STOP = 0.2
 LEVEL_RANGES = {3: ((16, 52), (112, 188), (236, 255)), 4: ((16, 56), (72, 132), (136, 196), (236, 255))}
 
@@ -37,12 +36,18 @@ def _resample(hist: DataFrame, n: str, keys: list[str], wanted: Column, name: st
 
 
 def quantization_sample(
-    hist: DataFrame, bright_minimum: int = BRIGHT_MINIMUM, sample_limit: int = SAMPLE_LIMIT
+    hist: DataFrame, bright_minimum: int | None = None, sample_limit: int | None = None
 ) -> DataFrame:
-    """Histogram of the fitting sample: bright values thinned, then the whole if still too large.
+    """Histogram of the pixels to fit on: all of them, unless a limit is given.
 
-    The sample of the sorted pixels is derived from cumulative counts; no pixel is sorted or moved.
+    ``bright_minimum`` thins bright values to twice the dark ones, but to no fewer than that;
+    ``sample_limit`` thins the whole. A sample of the sorted pixels is derived from cumulative counts;
+    no pixel is sorted or moved.
     """
+    if bright_minimum is None and sample_limit is None:
+        return hist.select(*stats.PAGE, "v", F.col("n").cast("long").alias("n"))
+    bright_minimum = EVERY if bright_minimum is None else bright_minimum
+    sample_limit = EVERY if sample_limit is None else sample_limit
     bright = F.col("v") >= BRIGHT
     page = W.partitionBy(*stats.PAGE)
     split = hist.withColumns({"_bright": bright, "_dark": F.sum(F.when(~bright, F.col("n")).otherwise(0)).over(page)})
@@ -55,8 +60,11 @@ def quantization_sample(
     return capped.filter("sampled > 0").select(*stats.PAGE, "v", F.col("sampled").alias("n"))
 
 
-def weighted_bins(hist: DataFrame) -> DataFrame:
-    """Histogram with bright bins scaled down to their limit (fractional weights)."""
+def weighted_bins(hist: DataFrame, bright_minimum: int | None = None) -> DataFrame:
+    """Histogram with fractional weights: with ``bright_minimum``, bright bins are scaled down together
+    to twice the dark ones, but to no less than that; without it every pixel weighs the same."""
+    if bright_minimum is None:
+        return hist.withColumn("weight", F.col("n").cast("double"))
     bright = F.col("v") >= BRIGHT
     page = W.partitionBy(*stats.PAGE)
     sums = hist.withColumns(
@@ -65,15 +73,15 @@ def weighted_bins(hist: DataFrame) -> DataFrame:
             "_d": F.sum(F.when(~bright, F.col("n")).otherwise(0)).over(page),
         }
     )
-    limit = F.least(F.col("_b"), F.greatest(F.col("_d") * 2, F.lit(BRIGHT_MINIMUM)))
+    limit = F.least(F.col("_b"), F.greatest(F.col("_d") * 2, F.lit(bright_minimum)))
     scale = F.when(bright & (F.col("_b") > limit), limit / F.col("_b")).otherwise(F.lit(1.0))
     return sums.withColumn("weight", F.col("n") * scale).drop("_b", "_d")
 
 
-def _clusters(bins: Column, k: int) -> Column:
+def _clusters(bins: Column, k: int, rounds: int) -> Column:
     """k-means over (v, weight) bins: quantile start, a bounded number of rounds, early stop.
 
-    ``bins`` has at most 256 entries, so one page's fit is one small expression.
+    Returns ``struct<centers, done>``; ``done`` says that the fit came to rest. ``bins`` has at most 256 entries, so one page's fit is one small expression.
     """
     total = F.aggregate(bins, F.lit(0.0), lambda s, b: s + b["weight"])
 
@@ -124,7 +132,7 @@ def _clusters(bins: Column, k: int) -> Column:
         )[0]
 
     first = F.struct(F.array(*[start(i) for i in range(k)]).alias("centers"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, step)["centers"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
 
 
 def _levels(centers: Column, k: int) -> Column:
@@ -147,24 +155,31 @@ def _levels(centers: Column, k: int) -> Column:
     )
 
 
-def tone_levels(hist: DataFrame, tones: DataFrame) -> DataFrame:
-    """Gray levels per page: (page_id, h, tones, levels).
+def tone_levels(
+    hist: DataFrame, tones: DataFrame, rounds: int = ROUNDS, bright_minimum: int | None = None
+) -> DataFrame:
+    """Gray levels per page: (page_id, h, tones, levels, converged).
 
     Two tones: a dark level from the Otsu threshold, and the top level. Three or four: k-means on
     the weighted histogram.
     """
-    weighted = weighted_bins(hist)
+    weighted = weighted_bins(hist, bright_minimum)
     dark = stats.otsu(weighted, "weight").select(
         *stats.PAGE, F.greatest(F.lit(16), F.least(F.lit(48), F.floor(F.col("threshold") * 0.30 + 0.5))).cast("int").alias("_dark")
     )
     bins = weighted.groupBy(*stats.PAGE).agg(F.array_sort(F.collect_list(F.struct("v", "weight"))).alias("_bins"))
     joined = tones.select(*stats.PAGE, "tones").join(dark, stats.PAGE).join(bins, stats.PAGE)
+    fit = F.when(F.col("tones") == 3, _clusters(F.col("_bins"), 3, rounds)).when(
+        F.col("tones") > 3, _clusters(F.col("_bins"), 4, rounds)
+    )
+    fitted = joined.withColumn("_fit", fit)
     levels = (
         F.when(F.col("tones") == 2, F.array(F.col("_dark"), F.lit(TOP_LEVEL)))
-        .when(F.col("tones") == 3, _levels(_clusters(F.col("_bins"), 3), 3))
-        .otherwise(_levels(_clusters(F.col("_bins"), 4), 4))
+        .when(F.col("tones") == 3, _levels(F.col("_fit.centers"), 3))
+        .otherwise(_levels(F.col("_fit.centers"), 4))
     )
-    return joined.select(*stats.PAGE, "tones", levels.alias("levels"))
+    converged = F.coalesce(F.col("_fit.done"), F.lit(True))
+    return fitted.select(*stats.PAGE, "tones", levels.alias("levels"), converged.alias("converged"))
 
 
 def cuts(levels: Column, mode: str = "round") -> Column:

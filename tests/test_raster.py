@@ -169,3 +169,65 @@ def test_filters_keep_shape_and_range(spark):
 def test_masks_are_ordered(spark, gray):
     px = masks.sauvola(page(spark, gray), "v", size=15)
     assert (plane(px, "strong") <= plane(px, "soft")).all()
+
+
+def closed_and_blurred(image, element, sigma):
+    """Closing under an ellipse and a Gaussian blur at full size, with plain numpy."""
+    r = element // 2
+    yy, xx = np.mgrid[-r : r + 1, -r : r + 1]
+    inside = (xx / (r + 0.5)) ** 2 + (yy / (r + 0.5)) ** 2 <= 1
+
+    def extreme(a, pick, outside):
+        padded = np.pad(a, r, constant_values=outside)
+        out = a
+        for dy, dx in zip(yy[inside], xx[inside]):
+            out = pick(out, padded[r + dy : r + dy + a.shape[0], r + dx : r + dx + a.shape[1]])
+        return out
+
+    grey = extreme(extreme(image.astype(float), np.maximum, -1.0), np.minimum, 999.0)
+    n = int(4 * sigma)
+    kernel = np.array(nb.gaussian_kernel(2 * n + 1, sigma))
+    for _ in range(2):
+        padded = np.pad(grey, ((n, n), (0, 0)), mode="reflect")
+        grey = sum(w * padded[k : k + grey.shape[0]] for k, w in enumerate(kernel)).T
+    return grey
+
+
+@pytest.mark.parametrize("h,w,element,sigma", [(90, 70, 15, 12.0), (320, 300, 15, 300 / 18), (600, 430, 19, 430 / 18)])
+def test_illumination_follows_the_page_size(spark, h, w, element, sigma):
+    yy, xx = np.mgrid[0:h, 0:w]
+    image = (215 - yy * 50 // h - xx * 20 // w).astype(int)
+    image[h // 4 : h // 4 + 4, w // 8 : -w // 8] = 30  # a stroke, closed
+    image[h // 2 : h // 2 + h // 6, w // 3 : w // 3 + w // 4] = 40  # a picture, kept
+    got = plane(nb.illumination(page(spark, image), "v", "s"), "s")
+    want = closed_and_blurred(image, element, sigma)
+    assert np.abs(got - want).mean() < 3.5 and np.abs(got - want).max() < 25
+    # A surface of the smallest element and blur is far from this one on large pages.
+    if h > 500:
+        assert np.abs(closed_and_blurred(image, 15, 12.0) - want).max() > 2 * np.abs(got - want).max()
+
+
+def test_tone_fit_says_whether_it_converged(spark):
+    values = np.random.default_rng(3).integers(0, 256, (40, 40))
+    hist = stats.histogram(page(spark, values), "v")
+    tones = hist.select(*stats.PAGE).distinct().withColumn("tones", F.lit(4))
+    assert tone.tone_levels(hist, tones).first().converged
+    assert not tone.tone_levels(hist, tones, rounds=1).first().converged
+
+
+def test_samples_are_whole_without_limits(spark):
+    values = np.full((200, 200), 250)
+    values[:2] = 20
+    hist = stats.histogram(page(spark, values), "v")
+    whole = {r.v: r.n for r in tone.quantization_sample(hist).collect()}
+    assert whole == {250: 39_600, 20: 400}
+    assert {r.v: r.n for r in tone.quantization_sample(hist, bright_minimum=500).collect()} == {250: 800, 20: 400}
+    assert {r.v: r.weight for r in tone.weighted_bins(hist).collect()} == {250: 39_600.0, 20: 400.0}
+
+
+def test_bw_at_twice_the_size_keeps_the_shape(spark):
+    paper = np.full((24, 20), 210)
+    paper[10:12, 4:16] = 30
+    px = page(spark, paper, name="r").withColumns({"g": F.col("r"), "b": F.col("r")})
+    out = plane(presets.document_bw(px, upscale=2), "r")
+    assert out.shape == paper.shape and out[10:12, 6:14].mean() < out[16:22].mean()
