@@ -279,3 +279,33 @@ def test_raster_round_trip(spark, small, tmp_path):
     back = src.read_raster(spark, str(tmp_path / "r"), "large")
     total = lambda d: d.agg(F.count("r"), F.sum(F.col("r") * (F.col("x") + 31 * F.col("y")))).first()
     assert total(pixels(back, "r")) == total(pixels(px, "r"))
+
+
+def test_sql_functions_equal_their_columns(spark):
+    from scanloom.functions import geometry as g, sql
+
+    sql.register(spark)
+    quads = [
+        [(10, 12), (200, 15), (210, 300), (8, 290)], [(200, 15), (10, 12), (8, 290), (210, 300)], [(0, 0), (100, 0), (20, 20), (0, 100)],
+        [(5, 5), (305, 5), (290, 215), (20, 215)], [(0, 0), (0, 0), (90, 90), (0, 120)], [(50, 0), (100, 50), (50, 100), (0, 50)],
+    ]
+    sizes = [(2100, 2970), (2970, 2100), (778, 1000), (3000, 1000), (500, 2000), (1000, 1000)]
+    rows = [([{"x": x, "y": y} for x, y in q], w, h) for q, (w, h) in zip(quads, sizes)]
+    df = spark.createDataFrame(rows, "c array<struct<x int, y int>>, w int, h int")
+    c = F.col("c")
+    side = g.side_lengths(c)
+    p, sides = g.points(c), "s.top, s.bottom, s.left, s.right"
+    pairs = [
+        (g.pdf_size(F.col("w"), F.col("h"))["w"], "pdf_width(w, h)"), (g.pdf_size(F.col("w"), F.col("h"))["h"], "pdf_height(w, h)"),
+        (g.pdf_rect(F.col("w"), F.col("h"))["w"], "pdf_rect_width(w, h)"), (g.pdf_rect(F.col("w"), F.col("h"))["h"], "pdf_rect_height(w, h)"),
+        (g.order_corners(c), "order_corners(c)"), (g.is_convex(c), "is_convex_quad(c)"),
+        (g.angle_deg(p[0], p[1], p[2]), "corner_angle(c[0].x, c[0].y, c[1].x, c[1].y, c[2].x, c[2].y)"),
+        (g.shape_score(g.corner_angles(c), side, F.lit(0.3)), f"shape_score(a[0], a[1], a[2], a[3], {sides}, 0.3)"),
+        (g.ratio_of_sides(side), f"sides_ratio({sides})"),
+        (g.sides_paper_ratio(side["top"], side["bottom"], side["left"], side["right"]), f"mean_sides_ratio({sides})"),
+    ]
+    ready = df.withColumn("s", side).withColumn("a", g.corner_angles(c))
+    for column, text in pairs:
+        for row in ready.select(column.alias("want"), F.expr(text).alias("got")).collect():
+            same = row.got == row.want or (row.got is not None and row.got == pytest.approx(row.want))
+            assert same, (text, row)
