@@ -26,8 +26,13 @@ def ingest_captures(
     """
     taken = captures.filter(~F.coalesce("busy", F.lit(False))) if "busy" in captures.columns else captures
     image = F.concat(F.lit("cap_"), F.col("session_id").cast("string"), F.lit("_"), F.col("seq").cast("string"), F.lit(".jpg"))
+    # A number outside the space of its session would silently name another page.
+    fits = F.col("seq").between(0, PAGES_PER_SESSION - 1) & F.col("session_id").between(0, NEW_DOCUMENT_BASE - 1)
+    page_id = F.when(fits, new_document_id(F.col("session_id")) * PAGES_PER_SESSION + F.col("seq")).otherwise(
+        F.raise_error(F.lit("capture number or session id out of range")).cast("long")
+    )
     fresh = taken.filter(~F.col("is_retake")).select(
-        (new_document_id(F.col("session_id")) * PAGES_PER_SESSION + F.col("seq")).alias("id"),
+        page_id.alias("id"),
         new_document_id(F.col("session_id")).alias("document_id"),
         F.col("seq").alias("capture_index"),
         image.alias("image_path"),

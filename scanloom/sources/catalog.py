@@ -42,12 +42,18 @@ def write_catalog(documents: DataFrame, pages: DataFrame, folder: str, partition
     laid_out = pages.repartition(partitions, *spread) if partitions else pages.repartition(*spread)
     documents.write.parquet(f"{folder}/{version}/documents")
     laid_out.sortWithinPartitions("document_id", "sort_order").write.parquet(f"{folder}/{version}/pages")
-    fs, path, jvm = _hadoop(spark, f"{folder}/{CURRENT}")
-    out = fs.create(path, True)
+    # The pointer is written whole under another name and renamed, so a reader sees the old or the new one.
+    fs, pending, jvm = _hadoop(spark, f"{folder}/.{CURRENT}-{version}")
+    out = fs.create(pending, True)
     try:
         out.write(bytearray(version.encode()))
     finally:
         out.close()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{CURRENT}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(pending), fs.makeQualified(path), options)
     return version
 
 

@@ -12,6 +12,12 @@ def read_images(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(glob)
 
 
+def dropped_images(spark: SparkSession, glob: str) -> DataFrame:
+    """``image_path`` of the files that ``read_images`` skips."""
+    every = spark.read.format("image").load(glob)
+    return every.filter(F.col("image.height") < 0).select(F.element_at(F.split("image.origin", "/"), -1).alias("image_path"))
+
+
 def image_dims(images: DataFrame) -> DataFrame:
     """Name, width and height of each image."""
     return images.select(
@@ -24,10 +30,15 @@ def image_dims(images: DataFrame) -> DataFrame:
 def image_scanlines(images: DataFrame, page_id: Column) -> DataFrame:
     """Scanlines of 1-, 3- or 4-channel images. Bytes are row-major, colour as blue, green, red."""
     image = F.col("image")
-    rows = images.select(page_id.alias("page_id"), image, F.explode(F.sequence(F.lit(0), image["height"] - 1)).alias("y"))
     channels, width = image["nChannels"], image["width"]
-    line = F.hex(F.substring(image["data"], F.col("y") * width * channels + 1, width * channels))
-    lined = rows.withColumns({"_hex": line, "_c": channels, "_w": width, "_h": image["height"]}).drop("image")
+    # Cut into lines before the explode, so a row carries its own line and never the whole raster.
+    lines = F.transform(
+        F.sequence(F.lit(0), image["height"] - 1),
+        lambda y: F.hex(F.substring(image["data"], y * width * channels + 1, width * channels)),
+    )
+    lined = images.select(
+        page_id.alias("page_id"), channels.alias("_c"), width.alias("_w"), image["height"].alias("_h"), F.posexplode(lines).alias("y", "_hex")
+    )
 
     def plane(offset: int) -> Column:
         at = F.when(F.col("_c") == 1, F.lit(0)).otherwise(offset)

@@ -74,6 +74,8 @@ class CaptureCounter(StatefulProcessor):
                 continue
             if n == 0:
                 out.append(("document", document, None, None, None))
+            if not 0 <= capture.seq < PAGES_PER_SESSION:
+                raise ValueError("capture number out of range")
             out.append(("page", document, document * PAGES_PER_SESSION + int(capture.seq), n, image))
             n += 1
         self._count.update((n,))
