@@ -22,7 +22,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_minhash")
+@query(
+    "op1_minhash",
+    r"""
+    WITH RECURSIVE worded AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM worded),
+    shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+    linked AS (
+      SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+      WHERE 100 * k >= 85 * (len(x.s) + len(y.s) - k)),
+    near AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+    reached(doc, root) AS (
+      SELECT doc_id, doc_id FROM sets UNION SELECT near.b, reached.root FROM reached JOIN near ON near.a = reached.doc
+      WHERE reached.root < near.b),
+    named AS (SELECT doc, min(root) AS root FROM reached GROUP BY 1)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept
+    FROM sets JOIN named ON named.doc = doc_id
+    """,
+)
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, words=3, num=85, den=100)
