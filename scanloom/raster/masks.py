@@ -77,12 +77,12 @@ def _bright_and_plain(px: DataFrame, l: str, limit: str, most: int, name: str, m
 def paper_mask(px: DataFrame, l: str, name: str, mode: str = "docs") -> DataFrame:  # noqa: E741
     raw = _bright_and_plain(px, l, "paper", 34, name, mode)
     repeat = "grouped" if mode == "docs" else "repeated"
-    return nb.open_(nb.close(raw, name, 5, 2, repeat), name, 5)
+    return nb.mask_steps(raw, name, nb.close_steps(5, 2, repeat) + nb.open_steps(5))
 
 
 def paper_candidate_mask(px: DataFrame, l: str, name: str) -> DataFrame:  # noqa: E741
     raw = _bright_and_plain(px, l, "candidate", 42, name, "docs")
-    return nb.open_(nb.close(raw, name, 9, 2), name, 9)
+    return nb.mask_steps(raw, name, nb.close_steps(9, 2) + nb.open_steps(9))
 
 
 def structure_mask(px: DataFrame, l: str, name: str, mode: str = "docs") -> DataFrame:  # noqa: E741
@@ -91,7 +91,7 @@ def structure_mask(px: DataFrame, l: str, name: str, mode: str = "docs") -> Data
     raw = map_planes(
         adaptive, [l, "_adaptive"], lambda v, m: either(m, at_most(v, F.col("limit_structure"))), [name]
     ).drop("_adaptive")
-    return nb.dilate(nb.open_(raw, name, 3), name, 3, 2)
+    return nb.mask_steps(raw, name, nb.open_steps(3) + [("dilate", 3)] * 2)
 
 
 def accent_mask(px: DataFrame, l: str, name: str, whiteboard: bool = False) -> DataFrame:  # noqa: E741

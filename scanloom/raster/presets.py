@@ -125,7 +125,7 @@ def magic(px: DataFrame) -> DataFrame:
     """Even lighting, white paper, kept and restored content colour."""
     px = clean_lightness(px.select(*POSITION, *RGB), ["paper", "structure"])
     px = masks.structure_mask(masks.paper_mask(px, "l", "paper"), "l", "structure")
-    px = nb.close(_without(px, "paper", "structure").drop("structure"), "paper", 5, 2)
+    px = nb.mask_steps(_without(px, "paper", "structure").drop("structure"), "paper", nb.close_steps(5, 2))
     px = cut(masks.accent_mask(px, "l", "accent").drop("limit_paper", "limit_structure"))
     px = map_planes(neutral_colors(px, "paper").drop("a", "bb"), ["l", "na", "nb"], _saturation, ["ref_sat"])
     px = with_richness(px, "ref_sat", "l", "paper")
@@ -159,7 +159,7 @@ def _bw(px: DataFrame) -> DataFrame:
     ).drop("limit_dark", "limit_paper")
     px = nb.dilate(nb.dilate(px, "soft", 3), "strong", 3)
     px = nb.median3_mask(map_planes(px, ["soft", "strong"], masks.either, ["structure"]), "structure", "structure")
-    px = nb.close(_without(px, "paper", "structure").drop("soft", "strong"), "paper", 5, 2)
+    px = nb.mask_steps(_without(px, "paper", "structure").drop("soft", "strong"), "paper", nb.close_steps(5, 2))
 
     def toned(strong, paper, structure):
         v = point.blend_toward(strong, paper, 246.0, 0.44)
@@ -219,7 +219,7 @@ def whiteboard(px: DataFrame) -> DataFrame:
         ["paper", "l"], lambda p, v: masks.either(p, masks.above(v, F.col("limit_board"))), ["paper"],
     )
     px = _without(px, "paper", "structure", "protect").drop("structure", "limit_paper", "limit_structure", "limit_board")
-    px = cut(nb.close(px, "paper", 5, 2))
+    px = cut(nb.mask_steps(px, "paper", nb.close_steps(5, 2)))
     px = neutral_colors(px, "paper").drop("a", "bb")
 
     def compose(l, na, nb_, paper, accent, protect, strong):  # noqa: E741

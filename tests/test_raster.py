@@ -231,3 +231,16 @@ def test_bw_at_twice_the_size_keeps_the_shape(spark):
     px = page(spark, paper, name="r").withColumns({"g": F.col("r"), "b": F.col("r")})
     out = plane(presets.document_bw(px, upscale=2), "r")
     assert out.shape == paper.shape and out[10:12, 6:14].mean() < out[16:22].mean()
+
+
+@pytest.mark.parametrize("w", [7, 59, 60, 61, 130])
+@pytest.mark.parametrize("size", [3, 5, 9])
+def test_packed_masks_equal_pixel_steps(spark, w, size):
+    mask = (np.random.default_rng(w).random((23, w)) > 0.6).astype(int)
+    px = page(spark, mask, 10, 9)
+    assert (plane(nb.unpack_mask(nb.pack_mask(px, "v"), "v"), "v") == mask).all()
+    for steps, pixels in (
+        ([("dilate", size)], nb.dilate(px, "v", size)),
+        ([("erode", size)], nb.erode(px, "v", size)),
+    ):
+        assert (plane(nb.mask_steps(px, "v", steps), "v") == plane(pixels, "v")).all()
