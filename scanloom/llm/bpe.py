@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import ship
+from scanloom.llm.common import remembers, ship
 
 MEMO_PIECES = 500_000
 MEMO_CHARS = 48
@@ -264,7 +264,8 @@ class _Spaced(dict):
         return self.setdefault(token, self.machine.push(token))
 
 
-@lru_cache(maxsize=4)
+@remembers
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

@@ -13,11 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Rows that pass to a Python worker at once. Texts can be long, and the setting's own default of ten
+# thousand of them takes much of a worker's memory.
+BATCH_ROWS = 1000
+
 _shipped: set[str] = set()
+_memos: list = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per application."""
+    """Make this package importable in the executors' Python workers, once per application, and keep
+    the batches that they get small."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -34,13 +43,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def remembers(make):
+    """Marks a cached maker of large tables, for ``release_memos``."""
+    _memos.append(make)
+    return make
+
+
+def release_memos() -> None:
+    """Frees what earlier stages left in this Python worker; tasks that need none of it call this."""
+    for make in _memos:
+        make.cache_clear()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
     Only where that setting is missing on a local master (tests) is a temporary folder taken.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")

@@ -19,11 +19,12 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from scanloom.llm.bpe import byte_symbols
+from scanloom.llm.common import remembers
 
 # Tasks are Spark's; threads of the library's own would only take turns with them.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 800_000
 MEMO_CHARS = 64
 BATCH_CHARS = 1 << 21
 
@@ -52,16 +53,21 @@ class TextEncoder:
         self.marks = [t["content"][0] for t in spec["added_tokens"]]
         self.normalizer = self.library.normalizer
         self.symbols = dict(enumerate(byte_symbols()))
+        self.space = self.symbols[32]
+        self.tokenize = self.library.model.tokenize
         self.memo = _Memo(self._library_ids, memo_chunks)
 
     def _library_ids(self, text: str) -> bytes:
         word = text[1:] if self.spaced and text[:1] == " " else text
         if word.isalpha():
             # One piece for either pre-tokeniser: the library's model alone does the same in less time.
+            if word.isascii():
+                piece = (word.lower() if self.lower else word) if word is text else self.space + word
+                return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
             same = self.normalizer.normalize_str(text) if self.normalizer else text
             if same.removeprefix(" ").isalpha():
                 piece = same.encode("utf-8").decode("latin-1").translate(self.symbols)
-                return array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
+                return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
@@ -126,6 +132,7 @@ def batches_of(texts: list[str | None], limit: int = BATCH_CHARS):
         yield first, run
 
 
-@lru_cache(maxsize=4)
+@remembers
+@lru_cache(maxsize=1)
 def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
