@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import ship
+from scanloom.llm.common import release_memos, ship
 from scanloom.llm.quality import held_out
 from scanloom.llm.tokens import batches_of
 
@@ -35,8 +35,8 @@ LEARNED_DOCS = 5_000
 SMOOTHING = 0.1
 WORD_CHARS = 40
 PIECE_CHARS = 12
-MEMO_WORDS = 600_000
-BATCH_CHARS = 1 << 22
+MEMO_WORDS = 400_000
+BATCH_CHARS = 1 << 21
 BEGIN = "▁"
 UNDETERMINED = "und"
 
@@ -131,6 +131,7 @@ def piece_counts(
     ship(docs.sparkSession)
 
     def run(batches):
+        release_memos()
         pieces = vocabulary(path)
         totals = defaultdict(lambda: np.zeros(len(pieces) + 1))
         for batch in batches:
@@ -222,6 +223,7 @@ def predict(docs: DataFrame, model: Languages, path: str, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        release_memos()
         scorer = Scorer(model, path)
         for batch in batches:
             for first, texts in batches_of(batch.column(1).to_pylist(), BATCH_CHARS):
@@ -245,6 +247,7 @@ def keep_identified(
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release_memos()
         scorer = Scorer(model, path)
         for batch in batches:
             for first, texts in batches_of(batch.column(at).to_pylist(), BATCH_CHARS):

@@ -33,13 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import ship, stage
+from scanloom.llm.common import release_memos, ship, stage
 from scanloom.llm.components import components
 
 COORDINATES = 64
 MISS = 1e-9
 BLOCK_MEMBERS = 1024
-FAMILY_SHINGLES = 3_000_000
+FAMILY_SHINGLES = 1_500_000
 SEED = 7
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     of each, for counting agreements)."""
 
     def run(batches):
+        release_memos()
         factors = _multipliers()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

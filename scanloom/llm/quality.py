@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scanloom.llm.common import ship, stage
+from scanloom.llm.common import release_memos, ship, stage
 
 # Weight of the pooled covariance, and of the identity.
 POOLED, ROUND = 0.1, 0.02
@@ -77,6 +77,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        release_memos()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -180,6 +181,7 @@ def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", leas
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release_memos()
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
