@@ -317,6 +317,40 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.fingerprint_versions(empty_documents(spark)).count() == 0
 
 
+def content_cuts(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.fingerprint_versions(docs, units=fingerprints.content_paragraphs).collect()
+    units = docs.select("doc_id", fingerprints.content_paragraphs(F.coalesce("text", F.lit(""))).alias("units"))
+    return {r.doc_id: r for r in got}, {r.doc_id: set(r.units) for r in units.collect()}
+
+
+def test_half_kept_texts_score_above_unrelated_ones(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(k for k in range(10, 60) for _ in range(4))]
+    got, _ = content_cuts(spark, rows)
+    assert len(got) == len(rows) and all(x.near_edited > x.near_next for x in got.values())
+
+
+def test_a_word_in_front_moves_only_the_cuts_beside_it(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(120)]
+    line = " ".join(words)
+    rows = [(1, line), (2, "extra " + line), (3, "\n".join(["other one", line, "end"])), (4, "no " * 30), (5, None)]
+    _, units = content_cuts(spark, rows)
+    same = lambda a, b: len(units[a] & units[b]) / len(units[a] | units[b])
+    assert same(1, 2) > 0.9 and units[1] < units[3] and len(units[4]) == 1 and units[5] == set()
+    assert len(words) / 5 < len(units[1]) < len(words) / 2
+
+
+def test_content_cuts_equal_brute_force(spark):
+    rows = [(i, t) for i, t in near_copies(seed=2, groups=3, size=4, words=90)] + [(900, LONG), (901, None), (902, LONG + " end")]
+    got, units = content_cuts(spark, rows)
+    down = sorted(rows, reverse=True)
+    same = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for (i, _), (j, _) in zip(down, down[1:] + down[:1]):
+        assert got[i].near_next == pytest.approx(same(units[i], units[j]))
+
+
 # ---- classifiers -----------------------------------------------------------------------------
 
 
