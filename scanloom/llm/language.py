@@ -30,7 +30,8 @@ from scanloom.llm.common import release_memos, ship
 from scanloom.llm.quality import held_out
 from scanloom.llm.tokens import batches_of
 
-# About so many documents of each language are learned from, picked by a hash of their id.
+# About so many documents of each language are learned from, picked by a hash of their id and text,
+# so that rows without an id, or with one id, are drawn one by one; equal rows share a draw.
 LEARNED_DOCS = 5_000
 SMOOTHING = 0.1
 WORD_CHARS = 40
@@ -159,7 +160,7 @@ def piece_counts(
     rates = {lang: min(1.0, learned / n) for lang, n in counts.items()}
     if any(rate < 1.0 for rate in rates.values()):
         rate = F.create_map(*(F.lit(x) for item in rates.items() for x in item))
-        drawn = F.pmod(F.xxhash64(F.lit("learn"), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        drawn = F.pmod(F.xxhash64(F.lit("learn"), id_col, text_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
         picked = picked.filter(drawn < rate[F.col(lang_col).cast("string")])
     rows = picked.select(F.col(lang_col).cast("string"), text_col).mapInArrow(
         run, "lang string, piece int, times double"

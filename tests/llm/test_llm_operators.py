@@ -391,6 +391,15 @@ def test_language_on_held_out_documents(spark):
     assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
 
 
+def test_rows_without_or_with_one_id_are_drawn_one_by_one(spark):
+    for id_of in (lambda i: None, lambda i: 7):
+        rows = [(id_of(i), "".join(chr(97 + int(d)) for d in str(i)), "en") for i in range(1000, 1400)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        letters = sum(t for _, _, t in language.piece_counts(docs, PIECE, learned=100))
+        every = sum(t for _, _, t in language.piece_counts(docs, PIECE, learned=400))
+        assert 0.15 * every < letters < 0.35 * every
+
+
 def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "▁ab", "ba"])}
     chances = np.vstack([np.random.RandomState(0).rand(len(pieces) + 1, 2), np.zeros((1, 2))])
