@@ -35,7 +35,6 @@ from scanloom.llm.tokens import batches_of
 LEARNED_DOCS = 5_000
 SMOOTHING = 0.1
 WORD_CHARS = 40
-PIECE_CHARS = 12
 MEMO_WORDS = 400_000
 BATCH_CHARS = 1 << 21
 BEGIN = "▁"
@@ -46,7 +45,7 @@ _WORDS = regex.compile(r"\p{L}{1,%d}" % WORD_CHARS)
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of letters, lower case, as long as ``PIECE_CHARS``; the last number is the unknown piece."""
+    """Pieces of letters, lower case, of any length; the last number is the unknown piece."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -54,7 +53,7 @@ def vocabulary(path: str) -> dict[str, int]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         body = piece.removeprefix(BEGIN)
-        if piece == piece.lower() and len(piece) <= PIECE_CHARS and (body == "" or body.isalpha()):
+        if piece == piece.lower() and (body == "" or body.isalpha()):
             pieces.setdefault(piece, len(pieces))
     pieces.setdefault(BEGIN, len(pieces))
     return pieces
@@ -63,13 +62,14 @@ def vocabulary(path: str) -> dict[str, int]:
 def lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
     """[word, start, length] -> piece, or -1. Words are marked at their begin and of equal length."""
     n, unknown = len(words[0]), len(pieces)
-    out = np.full((len(words), n, min(n, PIECE_CHARS)), -1, np.int32)
+    longest = min(n, max(map(len, pieces), default=1))
+    out = np.full((len(words), n, longest), -1, np.int32)
     get = pieces.get
     for w, word in enumerate(words):
         row = out[w]
         for i in range(n):
             row[i, 0] = get(word[i], unknown)
-            for size in range(2, min(PIECE_CHARS, n - i) + 1):
+            for size in range(2, min(longest, n - i) + 1):
                 piece = get(word[i : i + size])
                 if piece is not None:
                     row[i, size - 1] = piece

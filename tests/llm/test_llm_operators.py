@@ -421,6 +421,18 @@ def test_forward_sums_all_segmentations():
     assert [share[w == k] @ sizes[piece[w == k]] for k in (0, 1)] == pytest.approx([5, 5])
 
 
+def test_pieces_of_every_length_are_used():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    names = map(model.id_to_piece, range(model.get_piece_size()))
+    long = [p for p in names if len(p) > 12 and p == p.lower() and p.removeprefix("▁").isalpha()]
+    pieces = language.vocabulary(PIECE)
+    assert len(long) > 200 and pieces.keys() >= set(long)
+    for piece in long:
+        assert pieces[piece] in language.lattice([piece], pieces)[0, 0]
+
+
 def test_language_of_odd_rows(spark):
     got = language.identify(odd_documents(spark, extra=True), PIECE).collect()
     assert len(got) == len(ODD_ROWS)
