@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import ann, bpe, chat, fingerprints, language, line_dedup, minhash, packing, quality, token_files
+from scanloom.llm import (
+    ann,
+    bpe,
+    chat,
+    decontaminate,
+    fingerprints,
+    language,
+    line_dedup,
+    minhash,
+    packing,
+    quality,
+    token_files,
+)
 from scanloom.llm.common import read_table
 
 QUERIES = {}
@@ -178,6 +190,48 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, lambda i: i % 20 == 0, k=20)
 
 
+@query(
+    "op11_decontaminate",
+    r"""
+    WITH doc_words AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+    item_words AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words
+      FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i
+            FROM (SELECT *, least(len(w), 10) AS size FROM item_words WHERE len(w) > 0))),
+    places AS (
+      SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+      FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i
+            FROM doc_words, (SELECT DISTINCT size FROM windows))),
+    hits AS (SELECT doc_id, item_id, size, i FROM places JOIN windows USING (size, words)),
+    counted AS (
+      SELECT doc_id, count(DISTINCT place) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id),
+    named AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc_words LEFT JOIN counted USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.find_overlaps(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def all_queries():
     return dict(QUERIES)
 
