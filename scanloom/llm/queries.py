@@ -13,6 +13,7 @@ from scanloom.llm import (
     decontaminate,
     fingerprints,
     language,
+    lexical,
     line_dedup,
     minhash,
     packing,
@@ -233,6 +234,37 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_search",
+    r"""
+    WITH doc_words AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+    item_words AS (
+      SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+    times AS (SELECT doc_id, term, count(*) AS tf FROM doc_words GROUP BY 1, 2),
+    sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM times GROUP BY 1),
+    whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM times, whole GROUP BY term, docs),
+    shares AS (
+      SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)) AS share
+      FROM times JOIN sizes USING (doc_id), whole),
+    scores AS (
+      SELECT item_id, doc_id, CAST(sum(w * share) AS BIGINT) AS score
+      FROM item_words JOIN weights USING (term) JOIN shares USING (term) GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(docs, items, k=20)
+
+
 @query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

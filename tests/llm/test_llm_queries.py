@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, small, name):
 
 
 def test_one_query_for_each_operator():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_pipeline_stages_take_effect(spark, small):
