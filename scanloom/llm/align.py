@@ -22,8 +22,8 @@ are not carried.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import itertools
 import re
 from array import array
 from functools import lru_cache
@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scanloom.llm.bpe import byte_symbols
-from scanloom.llm.common import remembers, ship, stage
+from scanloom.llm.common import release_memos, remembers, ship, stage
 from scanloom.llm.tokens import ID_TYPE, MEMO_CHARS, TextEncoder, batches_of
 
 PIECE = 1 << 15
 PAIRS_PER_PASS = 4_000_000
 # Links whose id pairs a task counts at once, and distinct pairs that it holds.
-LINKS_AT_ONCE = 4_000_000
+LINKS_AT_ONCE = 2_000_000
 PAIRS_HELD = 1_000_000
 MEMO_CHUNKS = 400_000
 
@@ -98,33 +98,40 @@ class PieceTokens:
         same = b"".join(map(self.tokens.__getitem__, ids)) == text.encode()
         return array("I", ids).tobytes() if same else _LOST_BYTES
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks. The model puts a space in front of what it encodes: the chunk's own, or one
-        that goes again with the line end put between. A line end behind keeps spaces at the end."""
-        known, new = {}, []
-        for chunk in chunks:
-            ids = self.young.get(chunk) or self.old.get(chunk)
-            if ids is None:
-                new.append(chunk)
-            else:
-                known[chunk] = ids
+    def _learn(self, new: set[str]) -> None:
+        """Adds the ids of chunks to the young memo. The model puts a space in front of what it encodes:
+        the chunk's own, or one that goes again with the line end put between. A line end behind keeps
+        spaces at the end."""
+        known = self.old.keys() & new
+        self.young.update((c, self.old[c]) for c in known)
+        new -= known
         spaced = [c for c in new if c[0] == " "]
         bare = [c for c in new if c[0] != " "]
         for chunk, ids in zip(spaced, self.model.encode([c[1:] + "\n" for c in spaced], num_threads=1)):
-            known[chunk] = self._checked(chunk, ids[:-1])
+            self.young[chunk] = self._checked(chunk, ids[:-1])
         for chunk, ids in zip(bare, self.model.encode(["\n" + c for c in bare], num_threads=1)):
-            known[chunk] = self._checked(chunk, ids[2:])
-        if len(self.young) >= MEMO_CHUNKS // 2:
-            self.old, self.young = self.young, {}
-        self.young.update((c, known[c]) for c in new if len(c) <= MEMO_CHARS)
-        return known
+            self.young[chunk] = self._checked(chunk, ids[2:])
 
     def encode_spaced(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [self._checked(" " + t, self.model.encode(t, num_threads=1)) if t else b"" for t in texts]
-        parts = [self._CHUNK.findall(" " + t) if t else [] for t in texts]
-        known = self._learn(set(itertools.chain.from_iterable(parts)))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in parts]
+        # Nothing here is cyclic; the collector would walk the whole memo again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            if len(self.young) >= MEMO_CHUNKS // 2:
+                self.old, self.young = self.young, {}
+            parts = [self._CHUNK.findall(" " + t) if t else [] for t in texts]
+            new = set().union(*parts) - self.young.keys()
+            long = [c for c in new if len(c) > MEMO_CHARS]
+            self._learn(new)
+            out = [b"".join(map(self.young.__getitem__, chunks)) for chunks in parts]
+            for chunk in long:
+                del self.young[chunk]
+            return out
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @remembers
@@ -277,6 +284,7 @@ def pair_counts(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches):
         a_sizes, b_sizes, _ = _tables(path_a, path_b)
+        release_memos()
         waiting, size, held, counts = [], 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def rows():
@@ -345,6 +353,7 @@ def _judged(pieces: DataFrame, pairs: DataFrame, ids: tuple[int, int], first: bo
 
     def run(batches):
         a_sizes, b_sizes, written = _tables(*paths)
+        release_memos()
         n_a = len(a_sizes)
         known, links, best = table.value
         links, best = np.append(links, 0), np.append(best, False)
