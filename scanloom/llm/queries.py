@@ -154,7 +154,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fingerprints.fingerprint_versions(docs, units=fingerprints.content_paragraphs)
+    return fingerprints.fingerprint_versions(docs)
 
 
 @query("op7_quality")
