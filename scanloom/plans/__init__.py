@@ -6,7 +6,7 @@ import importlib
 
 from scanloom import registry
 
-MODULES = ["catalogue", "artefacts", "exports", "scalars", "quads", "streams", "raster", "raster_area"]
+MODULES = ["catalogue", "artefacts", "exports", "scalars", "quads", "streams", "raster", "raster_area", "raster_filters"]
 
 
 def _load() -> None:

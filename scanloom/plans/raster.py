@@ -185,13 +185,14 @@ def saturated_pixels(spark, sf):
     return as_text(map_planes(rasters(spark, sf), RGB, lambda r, g, b: point.saturate(r, g, b, 2.0), RGB), *RGB)
 
 
-def _steps_sql() -> str:
+def steps_sql(out: str) -> str:
+    """CTE of both light presets of every pixel: sr, sg, sb and vr, vg, vb."""
     sharpen = ", ".join(f"{bright_sql('(' + contrast_sql(c, 1.4) + ')', 1.05)} AS s{c}" for c in "rgb")
     vivid = ", ".join(f"{contrast_sql('(' + _SAT[c] + ')', 1.2)} AS v{c}" for c in "rgb")
-    return P + f", t AS (SELECT page_id, y, x, {sharpen}, {vivid} FROM px) "
+    return f"{out} AS (SELECT page_id, y, x, {sharpen}, {vivid} FROM px)"
 
 
-@query("light_presets", _steps_sql() + text_sql("t", "sr", "sg", "sb", "vr", "vg", "vb"))
+@query("light_presets", P + f", {steps_sql('t')} " + text_sql("t", "sr", "sg", "sb", "vr", "vg", "vb"))
 def light_presets(spark, sf):
     px = rasters(spark, sf)
     both = px.withColumns({f"_{c}": F.col(c) for c in RGB})

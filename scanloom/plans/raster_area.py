@@ -46,7 +46,9 @@ def open_steps(size: int, times: int = 1):
     return [("min", size)] * times + [("max", size)] * times
 
 
-def blur_sql(src: str, col: str, weights: list[float], out: str, border: str, name: str = "v") -> str:
+def blur_sql(
+    src: str, col: str, weights: list[float], out: str, border: str, name: str = "v", cols: int = 24, rows: int = 32
+) -> str:
     """Separable weighted sums over lists, one line and then one column at a time."""
     r = len(weights) // 2
 
@@ -60,9 +62,9 @@ def blur_sql(src: str, col: str, weights: list[float], out: str, border: str, na
         return " + ".join(f"vs[{at(k - r)} + 1] * ({w!r})::double" for k, w in enumerate(weights))
 
     return f"""{out}_a AS (SELECT page_id, y, list({col} ORDER BY x) AS vs FROM {src} GROUP BY 1, 2),
-{out}_b AS (SELECT page_id, y, unnest(range(24)) AS x, unnest(list_transform(range(24), lambda i: {taps(24)})) AS t FROM {out}_a),
+{out}_b AS (SELECT page_id, y, unnest(range({cols})) AS x, unnest(list_transform(range({cols}), lambda i: {taps(cols)})) AS t FROM {out}_a),
 {out}_c AS (SELECT page_id, x, list(t ORDER BY y) AS vs FROM {out}_b GROUP BY 1, 2),
-{out} AS (SELECT page_id, x, unnest(range(32)) AS y, unnest(list_transform(range(32), lambda i: {taps(32)})) AS {name} FROM {out}_c)"""
+{out} AS (SELECT page_id, x, unnest(range({rows})) AS y, unnest(list_transform(range({rows}), lambda i: {taps(rows)})) AS {name} FROM {out}_c)"""
 
 
 def box_sql(src: str, col: str, k: int, out: str) -> str:
@@ -195,11 +197,6 @@ def auto_stretch(spark, sf):
     return as_text(presets.auto_stretch(with_luma(spark, sf), "v"), "v")
 
 
-@query("illumination_surface")
-def illumination_surface(spark, sf):
-    return as_text(nb.illumination(to_lab(rasters(spark, sf)), "l", "surface"), "surface")
-
-
 # --- page masks -----------------------------------------------------------------------------------------
 
 
@@ -232,12 +229,12 @@ def accent_mask(spark, sf):
     return as_text(masks.accent_mask(px, "l", "board", whiteboard=True), "plain", "board")
 
 
-def sauvola_sql(src: str, col: str, k: float, size: int) -> str:
+def sauvola_sql(src: str, col: str, k: float, size: int, out: str = "sv") -> str:
     n = f"{size * size}.0::double"
-    return f"""{box_sql(src, col, size, 'bx')}, ms AS (SELECT page_id, y, x, {col} AS v, box_sum/{n} AS mean,
-  sqrt(greatest(0.0::double, box_sum2/{n} - (box_sum/{n})*(box_sum/{n}))) AS sd FROM bx),
-sv AS (SELECT page_id, y, x, (v <= mean*(1.0::double + {k}::double*(sd/128.0::double - 1.0)) AND mean - v >= greatest(10.0::double, sd*0.22::double))::int AS soft,
-  (v <= mean*(1.0::double + {k}::double*(sd/128.0::double - 1.0)) AND mean - v >= greatest(22.0::double, sd*0.40::double))::int AS strong FROM ms)"""
+    return f"""{box_sql(src, col, size, f'{out}_x')}, {out}_m AS (SELECT page_id, y, x, {col} AS v, box_sum/{n} AS mean,
+  sqrt(greatest(0.0::double, box_sum2/{n} - (box_sum/{n})*(box_sum/{n}))) AS sd FROM {out}_x),
+{out} AS MATERIALIZED (SELECT page_id, y, x, (v <= mean*(1.0::double + {k}::double*(sd/128.0::double - 1.0)) AND mean - v >= greatest(10.0::double, sd*0.22::double))::int AS soft,
+  (v <= mean*(1.0::double + {k}::double*(sd/128.0::double - 1.0)) AND mean - v >= greatest(22.0::double, sd*0.40::double))::int AS strong FROM {out}_m)"""
 
 
 @query("sauvola_masks", P + f", {GRAY_PX}, {sauvola_sql('gray', 'v', 0.18, 31)} " + text_sql("sv", "soft", "strong"))
@@ -300,13 +297,6 @@ def whole_quantization_sample(spark, sf):
     return tone.quantization_sample(stats.histogram(with_luma(spark, sf), "v")).select("page_id", "v", "n")
 
 
-@query("tone_levels")
-def tone_levels(spark, sf):
-    hist = stats.histogram(with_luma(spark, sf), "v")
-    found = tone.tone_levels(hist, stats.tone_count(hist))
-    return found.select("page_id", "tones", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
-
-
 @query("quantized_pixels", P + f""", {LAB_SQL}, t AS (SELECT page_id, y, x, (l > 120)::int AS paper, CASE WHEN l < 75 THEN 30 WHEN l < 145 THEN 120 WHEN l < 205 THEN 171 ELSE 240 END AS q,
   CASE WHEN l < 75 THEN 30 WHEN l < 146 THEN 120 WHEN l < 206 THEN 171 ELSE 240 END AS q2 FROM lab),
 u AS (SELECT page_id, y, x, q, CASE WHEN paper = 1 THEN greatest(q, 171) ELSE q END AS floored FROM t) """ + text_sql("u", "q", "floored"))
@@ -386,7 +376,7 @@ def warped_bilinear(spark, sf):
     return as_text(warp.warp(rasters(spark, sf), fx.page_quads(spark, sf), ["r"], "bilinear", "app"), "r")
 
 
-# --- page filters ---------------------------------------------------------------------------------------------
+# --- whole-page jobs ------------------------------------------------------------------------------------------
 
 
 @query("straightened_pages")
@@ -395,28 +385,3 @@ def straightened_pages(spark, sf):
     from scanloom.raster.jobs import straighten_and_normalise
 
     return as_text(straighten_and_normalise(rasters(spark, sf), fx.page_quads(spark, sf)), *RGB)
-
-
-@query("magic_step1")
-def magic_step1(spark, sf):
-    return as_text(presets.magic_step1(rasters(spark, sf)), *RGB)
-
-
-@query("magic_filter")
-def magic_filter(spark, sf):
-    return as_text(presets.magic(rasters(spark, sf)), *RGB)
-
-
-@query("bw_filter")
-def bw_filter(spark, sf):
-    return as_text(presets.document_bw(rasters(spark, sf)), "r")
-
-
-@query("whiteboard_filter")
-def whiteboard_filter(spark, sf):
-    return as_text(presets.whiteboard(rasters(spark, sf)), *RGB)
-
-
-@query("filtered_pages")
-def filtered_pages(spark, sf):
-    return as_text(presets.apply_filters(fx.raster_pages(spark, sf), rasters(spark, sf)), *RGB)

@@ -41,6 +41,71 @@ def rows_in_order():
     return W.partitionBy(*KEY).orderBy("y")
 
 
+def settle(
+    px: DataFrame,
+    carry: list[str] | None = None,
+    beside: DataFrame | None = None,
+    totals: dict[str, tuple[Column, str]] | None = None,
+    band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """The same scanlines behind one shuffle by (page, band) that all their readers share.
+
+    A page statistic and the scanlines it goes back to both start from here, and Spark runs the shuffle
+    and what leads to it once. For that the readers' plans must agree up to the shuffle: all planes and
+    the whole numbers in ``carry`` travel as one array, from which no reader drops its unused part, and
+    come out of a window, below which no reader's filter sinks. The window's order is the one that
+    neighbourhoods need anyway. Nothing runs before the result is asked for; rows without page are dropped.
+
+    ``beside`` has rows (page_id, band, y, value) that travel along: each scanline gets, as ``_beside``,
+    the value of the last of them at or above it.
+
+    ``totals`` are page statistics that sums or maxima of one whole number per scanline give, by name:
+    (number, "sum" or "max"). Each core scanline sends its numbers to all bands of its page in the same
+    shuffle, where a window adds them up, so they need no join.
+    """
+    carry, totals = carry or [], totals or {}
+    planes = [c for c in px.columns if c not in [*POSITION, *carry]]
+    head = F.array("h", "w", F.col("core").cast("int"), *[F.col(c).cast("int") for c in carry])
+    packed, order = F.array(head, *planes), rows_in_order()
+    rows = px.filter(F.col("page_id").isNotNull())
+    if totals:
+        kind = "struct<" + ",".join(f"{n}:bigint" for n in totals) + ">"
+        parts = F.struct(*[v.cast("bigint").alias(n) for n, (v, _) in totals.items()])
+        line = F.struct(F.col("band").cast("int").alias("band"), packed.alias("_packed"), F.lit(None).cast(kind).alias("_part"))
+        last = F.floor((F.col("h") - 1) / band_rows).cast("int")
+        sent = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: F.struct(b.alias("band"), F.lit(None).cast("array<array<int>>").alias("_packed"), parts.alias("_part")),
+        )
+        every = F.when(F.col("core"), F.concat(F.array(line), sent)).otherwise(F.array(line))
+        rows = rows.select("page_id", "y", F.inline_outer(every))
+    else:
+        # Spark drops a shuffle by the key that the rows are dealt by already; as a value of its own the
+        # band does not tell that they are.
+        rows = rows.select("page_id", F.abs("band").alias("band"), "y", packed.alias("_packed"))
+    if beside is not None:
+        others = beside.filter(F.col("page_id").isNotNull()).select(*KEY, F.col("y").cast("int").alias("y"), "value")
+        rows = rows.unionByName(others, allowMissingColumns=True)
+    if beside is not None or totals:
+        order = W.partitionBy(*KEY).orderBy("y", F.col("_packed").isNotNull())
+    held = {"_held": F.first("_packed").over(order.rowsBetween(0, 0))}
+    if beside is not None:
+        held["_beside"] = F.last("value", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    whole = W.partitionBy(*KEY)
+    held |= {n: getattr(F, how)(F.col(f"_part.{n}")).over(whole) for n, (_, how) in totals.items()}
+    shared = rows.repartition(*KEY).withColumns(held)
+    if beside is not None or totals:
+        shared = shared.filter(F.col("_held").isNotNull())
+    number = lambda i: F.get(F.get("_held", F.lit(0)), F.lit(i))
+    return shared.select(
+        *KEY, "y", number(0).alias("h"), number(1).alias("w"), (number(2) == 1).alias("core"),
+        *[F.get("_held", F.lit(i + 1)).alias(p) for i, p in enumerate(planes)],
+        *[number(3 + i).alias(c) for i, c in enumerate(carry)],
+        *(["_beside"] if beside is not None else []),
+        *totals,
+    )
+
+
 def pixels(px: DataFrame, *planes: str) -> DataFrame:
     """One row per pixel of the core rows: page_id, h, w, y, x and the planes."""
     zipped = F.arrays_zip(*[F.col(p) for p in planes])

@@ -101,38 +101,34 @@ def _inside(j: Column) -> Column:
     return F.when(rest >= WORD_PIXELS, F.lit(FULL_WORD)).otherwise(_shift_by(F.lit(1).cast("long"), rest) - 1)
 
 
-def _spread_word(plane: str, word: Column, j: Column, r: int) -> Column:
-    """The word, or-ed with its line moved by up to ``r`` pixels to either side."""
+# The steps on words are written as SQL text: a filter has dozens, and text is one call to Spark each.
+_PIXEL_BITS = (
+    f"CASE WHEN w - j * {WORD_PIXELS} >= {WORD_PIXELS} THEN {FULL_WORD}L ELSE shiftleft(1L, w - j * {WORD_PIXELS}) - 1L END"
+)
+_ROWS = "OVER (PARTITION BY page_id, band ORDER BY y)"
+
+
+def _spread_words(plane: str, r: int) -> Column:
+    """The words, or-ed with their line moved by up to ``r`` pixels to either side."""
     if r == 0:
-        return word
-    before = F.coalesce(F.get(F.col(plane), j - 1), F.lit(0).cast("long"))
-    after = F.coalesce(F.get(F.col(plane), j + 1), F.lit(0).cast("long"))
-    out = word
+        return F.col(plane)
+    beside = lambda j: f"coalesce(get(`{plane}`, {j}), 0L)"
+    moved = ["e"]
     for d in range(1, r + 1):
-        up = F.shiftleft(word, d).bitwiseAND(F.lit(FULL_WORD)).bitwiseOR(F.shiftright(before, WORD_PIXELS - d))
-        down = F.shiftright(word, d).bitwiseOR(F.shiftleft(after, WORD_PIXELS - d).bitwiseAND(F.lit(FULL_WORD)))
-        out = out.bitwiseOR(up).bitwiseOR(down)
-    return out.bitwiseAND(_inside(j))
+        moved.append(f"(shiftleft(e, {d}) & {FULL_WORD}L) | shiftright({beside('j - 1')}, {WORD_PIXELS - d})")
+        moved.append(f"shiftright(e, {d}) | (shiftleft({beside('j + 1')}, {WORD_PIXELS - d}) & {FULL_WORD}L)")
+    return F.expr(f"transform(`{plane}`, (e, j) -> ({' | '.join(moved)}) & {_PIXEL_BITS})")
 
 
 def _dilate_words(px: DataFrame, plane: str, shape: dict[int, int]) -> DataFrame:
     widths = sorted(set(shape.values()))
-    spread = lambda r: F.transform(plane, lambda e, j: _spread_word(plane, e, j, r))
-    wide = px.withColumns({f"_w{r}": spread(r) for r in widths})
-    order = rows_in_order()
-    shifted = {}
-    for dy, r in shape.items():
-        if dy:
-            line = F.col(f"_w{r}")
-            shifted[f"_s{dy + 100}"] = F.lag(line, -dy).over(order) if dy < 0 else F.lead(line, dy).over(order)
+    wide = px.withColumns({f"_w{r}": _spread_words(plane, r) for r in widths})
+    shifted = {
+        f"_s{dy + 100}": F.expr(f"{'lag' if dy < 0 else 'lead'}(_w{r}, {abs(dy)}) {_ROWS}") for dy, r in shape.items() if dy
+    }
     moved = wide.withColumns(shifted) if shifted else wide
-
-    def joined(e: Column, j: Column) -> Column:
-        for c in shifted:
-            e = e.bitwiseOR(F.coalesce(F.get(F.col(c), j), F.lit(0).cast("long")))
-        return e
-
-    result = moved.withColumn(plane, F.transform(f"_w{shape[0]}", joined))
+    joined = " | ".join(["e", *(f"coalesce(get({c}, j), 0L)" for c in shifted)])
+    result = moved.withColumn(plane, F.expr(f"transform(_w{shape[0]}, (e, j) -> {joined})"))
     return result.drop(*shifted, *[f"_w{r}" for r in widths])
 
 
@@ -327,7 +323,8 @@ def downscale(px: DataFrame, plane: str, k: int, name: str) -> DataFrame:
 def _cell_lines(px: DataFrame, plane: str) -> DataFrame:
     """Block means as scanlines of the cell grid, built line by line without exploding pixels.
 
-    Columns: page_id, y, h, w (in cells), ``cell``, and per page ``_k`` (pixels per cell), ``_small``.
+    Columns: page_id, y, h, w (in cells), ``cell``, and per page ``_k`` (pixels per cell), ``_h`` (in
+    pixels), ``_small``.
     """
     sized = px.filter("core").select(
         "page_id", "y", plane, F.col("h").alias("_h"), F.col("w").alias("_w"), surface_cell(F.col("h"), F.col("w")).alias("_k")
@@ -354,43 +351,60 @@ def _cell_lines(px: DataFrame, plane: str) -> DataFrame:
         F.ceil(F.col("_w") / k).cast("int").alias("w"),
         F.transform(F.element_at("_lines", 1), mean).alias("cell"),
         "_k",
+        "_h",
         (F.least("_h", "_w") <= SMALL_SIDE).alias("_small"),
     )
 
 
-def illumination(px: DataFrame, plane: str, name: str) -> DataFrame:
+def illumination(px: DataFrame, plane: str, name: str, carry: list[str] | None = None) -> DataFrame:
     """Smooth brightness surface of the paper: close dark strokes, blur, spread back over the page.
 
     Element and blur follow the page's size. Computed on cells and interpolated between cell centres;
-    an approximation of closing and blurring at full size.
+    an approximation of closing and blurring at full size. The cells' rows travel beside the scanlines,
+    each into the bands that it touches, so the surface comes back without a join. ``carry`` as in
+    ``grid.settle``.
     """
+    px = grid.settle(px, carry)
     cells = grid.to_bands(_cell_lines(px, plane))
     closed = close(close(cells.withColumn("_wide", F.col("cell")), "cell", 3), "_wide", 5)
     closed = closed.withColumn("cell", F.when(F.col("_small"), F.col("_wide")).otherwise(F.col("cell"))).drop("_wide")
     smooth = gaussian(closed, "cell", SURFACE_KERNEL, "surface", border="replicate", whole=False)
     order = rows_in_order()
-    ends = smooth.withColumns(
-        {
-            "_prev": F.coalesce(F.lag("surface").over(order), F.col("surface")),
-            "_next": F.coalesce(F.lead("surface").over(order), F.col("surface")),
-        }
-    ).filter("core")
-    # Each cell row yields its own image rows, mixed with the row above or below.
-    rows = ends.withColumn("_row", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    away = (F.col("_row") + 0.5) / F.col("_k") - 0.5
+    first, last = F.col("y") * F.col("_k"), (F.col("y") + 1) * F.col("_k") - 1
+    touched = F.sequence(
+        F.greatest(F.lit(0), F.floor((first - grid.MARGIN_ROWS) / grid.BAND_ROWS)).cast("int"),
+        F.floor(F.least(F.col("_h") - 1, last + grid.MARGIN_ROWS) / grid.BAND_ROWS).cast("int"),
+    )
+    rows = (
+        smooth.withColumns(
+            {
+                "_prev": F.coalesce(F.lag("surface").over(order), F.col("surface")),
+                "_next": F.coalesce(F.lead("surface").over(order), F.col("surface")),
+            }
+        )
+        .filter("core")
+        .select(
+            "page_id",
+            F.explode(touched).alias("band"),
+            first.alias("y"),
+            F.struct(first.alias("at"), F.col("_k").alias("k"), "surface", "_prev", "_next").alias("value"),
+        )
+    )
+    lit = grid.settle(px, carry, beside=rows)
+    cell = F.col("_beside")
+    # A scanline lies between the middle of its cells and that of the row above or below.
+    away = (F.col("y") - cell["at"] + 0.5) / cell["k"] - 0.5
     mixed = F.when(
-        away < 0, F.zip_with("surface", "_prev", lambda a, b: a * (1 + away) - b * away)
-    ).otherwise(F.zip_with("surface", "_next", lambda a, b: a * (1 - away) + b * away))
-    at_row = (F.col("y") * F.col("_k") + F.col("_row")).cast("int")
-    surface = rows.select("page_id", at_row.alias("y"), mixed.alias("_surface"), "_k")
+        away < 0, F.zip_with(cell["surface"], cell["_prev"], lambda a, b: a * (1 + away) - b * away)
+    ).otherwise(F.zip_with(cell["surface"], cell["_next"], lambda a, b: a * (1 - away) + b * away))
 
-    def between(_, x: Column) -> Column:
-        at = (x + 0.5) / F.col("_k") - 0.5
+    def between(s: Column, x: Column) -> Column:
+        at = (x + 0.5) / cell["k"] - 0.5
         left = F.floor(at).cast("int")
-        last = F.size("_surface") - 1
-        a = F.get(F.col("_surface"), F.greatest(F.lit(0), left))
-        b = F.get(F.col("_surface"), F.least(left + 1, last))
+        a = F.get(s, F.greatest(F.lit(0), left))
+        b = F.get(s, F.least(left + 1, F.size(s) - 1))
         return F.floor(a + (b - a) * (at - left) + 0.5).cast("int")
 
-    joined = px.join(surface, ["page_id", "y"], "left")
-    return joined.withColumn(name, F.transform(plane, between)).select(*px.columns, name)
+    # The mixed line is bound once for all pixels of the scanline.
+    spread = F.transform(F.array(mixed), lambda s: F.transform(plane, lambda _, x: between(s, x)))
+    return lit.withColumn(name, F.get(spread, F.lit(0))).drop("_beside")

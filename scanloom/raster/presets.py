@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom.operators.catalog import preset_key
 from scanloom.raster import masks, neighbourhood as nb, point, stats, tone
-from scanloom.raster.grid import POSITION, attach, map_planes, rows_in_order, to_bands
+from scanloom.raster.grid import POSITION, attach, map_planes, rows_in_order, settle, to_bands
 from scanloom.raster.warp import resize_nearest
-from scanloom.scale import cut
 
 RGB = ["r", "g", "b"]
 
@@ -30,7 +29,7 @@ def to_lab(px: DataFrame) -> DataFrame:
 
 def flatten(px: DataFrame, plane: str = "l", name: str = "l") -> DataFrame:
     """Divide out uneven lighting."""
-    lit = nb.illumination(px, plane, "_surface")
+    lit = settle(nb.illumination(px, plane, "_surface"))
     lit = attach(lit, stats.plane_mean(lit, "_surface", "_mean"))
     return map_planes(lit, [plane, "_surface"], lambda v, s: point.flat_field(v, s, F.col("_mean")), [name]).drop(
         "_surface", "_mean"
@@ -46,16 +45,29 @@ def auto_stretch(px: DataFrame, plane: str, low: float = 0.005, high: float = 0.
     ).drop("_black", "_white")
 
 
-def clean_lightness(px: DataFrame, limits: list[str]) -> DataFrame:
-    """Colour planes with even, stretched and denoised lightness, and the page's mask limits.
+def _even_light(px: DataFrame) -> DataFrame:
+    """``flatten`` and ``auto_stretch`` with one statistic: both need only how often each lightness lies
+    under each level of the surface, at most 65,536 pairs a page."""
+    flat = lambda v, s: point.flat_field(v, s, F.col("_mean"))
+    pairs = stats.pair_histogram(px, "l", "_surface")
+    page = Window.partitionBy(*stats.PAGE)
+    mean = F.sum(F.col("_surface") * F.col("n")).over(page) / F.sum("n").over(page)
+    evened = pairs.withColumn("_mean", mean).withColumn("v", flat(F.col("l"), F.col("_surface")))
+    hist = evened.groupBy(*stats.PAGE, "_mean", "v").agg(F.sum("n").alias("n"))
+    ends = stats.percentiles(hist, _mean=F.max("_mean"), _black=stats.nearest(0.005), _white=stats.nearest(0.995))
+    ends = ends.withColumn("_white", F.greatest(F.col("_black") + 1, F.col("_white")))
+    stretched = lambda v, s: point.stretch(flat(v, s), F.col("_black"), F.col("_white"))
+    return map_planes(attach(px, ends), ["l", "_surface"], stretched, ["l"]).drop("_surface", "_mean", "_black", "_white")
+
+
+def clean_lightness(px: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Colour planes with even, stretched and denoised lightness: the start of the three large filters.
 
-    Staged twice: page statistics read the stage before them instead of recomputing it.
+    Settled after the lighting and at the end, so that each page statistic and the scanlines it goes
+    back to share what leads there. ``carry`` as in ``grid.settle``.
     """
-    lit = cut(nb.illumination(to_lab(px).drop(*RGB), "l", "_surface"))
-    lit = attach(lit, stats.plane_mean(lit, "_surface", "_mean"))
-    flat = map_planes(lit, ["l", "_surface"], lambda v, s: point.flat_field(v, s, F.col("_mean")), ["l"])
-    clean = cut(nb.median3(auto_stretch(flat.drop("_surface", "_mean"), "l"), "l", "l"))
-    return masks.with_limits(clean, "l", limits)
+    lit = settle(nb.illumination(to_lab(px).drop(*RGB), "l", "_surface", carry), carry)
+    return settle(nb.median3(_even_light(lit), "l", "l"), carry)
 
 
 def _without(px: DataFrame, mask: str, *others: str) -> DataFrame:
@@ -63,15 +75,16 @@ def _without(px: DataFrame, mask: str, *others: str) -> DataFrame:
     return map_planes(px, [mask, *others], lambda m, *o: F.least(m, *[masks.negate(x) for x in o]), [mask])
 
 
-def neutral_colors(px: DataFrame, mask: str) -> DataFrame:
-    """Colour planes moved so that the paper is neutral."""
-    bias = stats.masked_mean(px, ["a", "bb"], mask).drop("masked")
+def settle_neutral(px: DataFrame, mask: str) -> DataFrame:
+    """The scanlines settled, with colour planes ``na``, ``nb`` moved so that the paper is neutral in
+    place of ``a``, ``bb``."""
+    settled = settle(px, totals=stats.masked_parts(["a", "bb"], mask)).withColumns(stats.masked_means(["a", "bb"]))
     return map_planes(
-        attach(px, bias),
+        settled,
         ["a", "bb"],
         lambda a, b: {"na": point.shift(a, F.col("mean_a")), "nb": point.shift(b, F.col("mean_bb"))},
         ["na", "nb"],
-    ).drop("mean_a", "mean_bb")
+    ).select(*[c for c in px.columns if c not in ("a", "bb")], "na", "nb")
 
 
 def _saturation(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
@@ -82,8 +95,10 @@ def _saturation(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
 
 
 def with_richness(px: DataFrame, sat: str, l: str, paper: str) -> DataFrame:  # noqa: E741
+    """The scanlines settled, with their page's ``richness`` and ``top_sat``."""
     seen = map_planes(px, [l], lambda v: masks.visible(v), ["_seen"])
-    return attach(seen, stats.color_richness(seen, sat, "_seen", paper)).drop("_seen")
+    settled = settle(seen, totals=stats.richness_parts(sat, "_seen", paper))
+    return settled.withColumn("richness", stats.richness()).drop("_seen", "_seen_n", "_vivid_n")
 
 
 def restore_saturation(px: DataFrame) -> DataFrame:
@@ -123,11 +138,15 @@ def magic_step1(px: DataFrame) -> DataFrame:
 
 def magic(px: DataFrame) -> DataFrame:
     """Even lighting, white paper, kept and restored content colour."""
-    px = clean_lightness(px.select(*POSITION, *RGB), ["paper", "structure"])
+    return _magic(clean_lightness(px.select(*POSITION, *RGB)))
+
+
+def _magic(px: DataFrame) -> DataFrame:
+    px = masks.with_limits(px, "l", ["paper", "structure"])
     px = masks.structure_mask(masks.paper_mask(px, "l", "paper"), "l", "structure")
     px = nb.mask_steps(_without(px, "paper", "structure").drop("structure"), "paper", nb.close_steps(5, 2))
-    px = cut(masks.accent_mask(px, "l", "accent").drop("limit_paper", "limit_structure"))
-    px = map_planes(neutral_colors(px, "paper").drop("a", "bb"), ["l", "na", "nb"], _saturation, ["ref_sat"])
+    px = masks.accent_mask(px, "l", "accent").drop("limit_paper", "limit_structure")
+    px = map_planes(settle_neutral(px, "paper"), ["l", "na", "nb"], _saturation, ["ref_sat"])
     px = with_richness(px, "ref_sat", "l", "paper")
     px = masks.paper_color_mask(px, "ref_sat", "l", "paper", "accent", "paper_color")
     rich = F.col("richness")
@@ -151,7 +170,7 @@ def magic(px: DataFrame) -> DataFrame:
 
 
 def _bw(px: DataFrame) -> DataFrame:
-    px = clean_lightness(px, ["paper", "dark"])
+    px = masks.with_limits(px, "l", ["paper", "dark"])
     px = map_planes(px, ["l"], lambda v: point.contrast(v, 1.48), ["strong_l"])
     px = masks.sauvola(masks.paper_mask(px, "l", "paper"), "strong_l").drop("a", "bb")
     px = map_planes(
@@ -168,9 +187,8 @@ def _bw(px: DataFrame) -> DataFrame:
         return point.blend_toward(v, bright, 236.0, 0.32)
 
     px = map_planes(px, ["strong_l", "paper", "structure"], toned, ["v"]).drop("strong_l", "structure", "l")
-    px = cut(nb.gaussian(px, "v", nb.BLUR3, "v"))
-    hist = stats.histogram(px, "v")
-    levels = tone.tone_levels(hist, stats.tone_count(hist)).withColumn("_cuts", tone.cuts(F.col("levels")))
+    px = settle(nb.gaussian(px, "v", nb.BLUR3, "v"))
+    levels = tone.fitted_tones(stats.histogram(px, "v")).withColumn("_cuts", tone.cuts(F.col("levels")))
     px = attach(px, levels)
     px = map_planes(px, ["v"], lambda v: tone.quantize(v, F.col("levels"), F.col("_cuts")), ["v"])
     px = map_planes(px, ["v", "paper"], lambda v, paper: tone.paper_floor(v, paper, F.col("levels")), ["v"])
@@ -183,8 +201,13 @@ def document_bw(px: DataFrame, upscale: int = 1) -> DataFrame:
     px = px.select(*POSITION, *RGB)
     if upscale not in (1, 2):
         raise ValueError("upscale is 1 or 2")
-    gray = _bw(px) if upscale == 1 else halve(_bw(resize_nearest(px, RGB, F.col("h") * 2, F.col("w") * 2)), "v")
-    return gray.select(*POSITION, *[F.col("v").alias(c) for c in RGB])
+    if upscale == 1:
+        return _gray(_bw(clean_lightness(px)))
+    return _gray(halve(_bw(clean_lightness(resize_nearest(px, RGB, F.col("h") * 2, F.col("w") * 2))), "v"))
+
+
+def _gray(px: DataFrame) -> DataFrame:
+    return px.select(*POSITION, *[F.col("v").alias(c) for c in RGB])
 
 
 def halve(px: DataFrame, plane: str) -> DataFrame:
@@ -207,7 +230,11 @@ def halve(px: DataFrame, plane: str) -> DataFrame:
 
 def whiteboard(px: DataFrame) -> DataFrame:
     """White board, kept and boosted marker colours."""
-    px = clean_lightness(px.select(*POSITION, *RGB), ["paper", "structure", "board"])
+    return _whiteboard(clean_lightness(px.select(*POSITION, *RGB)))
+
+
+def _whiteboard(px: DataFrame) -> DataFrame:
+    px = masks.with_limits(px, "l", ["paper", "structure", "board"])
     px = masks.accent_mask(px, "l", "accent", whiteboard=True)
     px = nb.dilate(px.withColumn("protect", F.col("accent")), "protect", 3)
     px = masks.structure_mask(px, "l", "structure")
@@ -219,8 +246,7 @@ def whiteboard(px: DataFrame) -> DataFrame:
         ["paper", "l"], lambda p, v: masks.either(p, masks.above(v, F.col("limit_board"))), ["paper"],
     )
     px = _without(px, "paper", "structure", "protect").drop("structure", "limit_paper", "limit_structure", "limit_board")
-    px = cut(nb.mask_steps(px, "paper", nb.close_steps(5, 2)))
-    px = neutral_colors(px, "paper").drop("a", "bb")
+    px = settle_neutral(nb.mask_steps(px, "paper", nb.close_steps(5, 2)), "paper")
 
     def compose(l, na, nb_, paper, accent, protect, strong):  # noqa: E741
         light = point.weighted_blend(point.blend_toward(l, paper, 250.0, 0.50), l, 0.68)
@@ -249,17 +275,33 @@ FILTERS = {
     "whiteboard": whiteboard,
 }
 
+# What the large filters do after the cleaned lightness that they share.
+AFTER_LIGHTNESS = {"magic": _magic, "bw": lambda px: _gray(_bw(px)), "whiteboard": _whiteboard}
+
 
 def apply_filters(pages: DataFrame, px: DataFrame, presets: list[str] | None = None) -> DataFrame:
     """Render each page with its own filter: ``pages(id, filter_name)`` with ``px`` planes r, g, b.
 
-    Each preset filters its pages before doing anything; pages of unknown or default filters pass
-    unchanged. ``presets`` names the filters present, when known, so that others are not planned.
+    The scanlines are read once and settled by (page, band) with the number of their filter; every
+    filter takes its pages from there. The large filters' pages go through the cleaning of lightness
+    together. Pages of unknown or default filters pass unchanged. ``presets`` names the filters
+    present, when known, so that others are not planned.
     """
-    keyed = px.join(pages.select(F.col("id").alias("page_id"), preset_key(F.col("filter_name")).alias("_preset")), "page_id")
-    wanted = presets if presets is not None else list(FILTERS)
+    wanted = list(FILTERS) if presets is None else [p for p in FILTERS if p in presets]
+    number = F.array_position(F.lit(wanted), preset_key(F.col("filter_name"))) if wanted else F.lit(0)
+    keyed = px.join(pages.select(F.col("id").alias("page_id"), number.cast("int").alias("_preset")), "page_id")
     columns = [*POSITION, *RGB]
-    done = keyed.filter(~F.col("_preset").isin(wanted)).select(*columns)
+    shared = settle(keyed.select(*columns, "_preset"), ["_preset"])
+    large = [n for n in wanted if n in AFTER_LIGHTNESS]
+    numbers = {n: i + 1 for i, n in enumerate(wanted)}
+    of = lambda rows, name: rows.filter(F.col("_preset") == numbers[name]).drop("_preset")
+    done = shared.filter(F.coalesce(F.col("_preset"), F.lit(0)) == 0).select(*columns)
     for name in wanted:
-        done = done.unionByName(FILTERS[name](keyed.filter(F.col("_preset") == name).select(*columns)).select(*columns))
+        if name not in large:
+            done = done.unionByName(FILTERS[name](of(shared, name)).select(*columns))
+    if large:
+        dark = shared.filter(F.col("_preset").isin([numbers[n] for n in large]))
+        clean = clean_lightness(dark, ["_preset"])
+        for name in large:
+            done = done.unionByName(AFTER_LIGHTNESS[name](of(clean, name)).select(*columns))
     return done

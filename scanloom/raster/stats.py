@@ -19,6 +19,17 @@ def histogram(px: DataFrame, plane: str) -> DataFrame:
     )
 
 
+def pair_histogram(px: DataFrame, first: str, second: str) -> DataFrame:
+    """(page_id, h, first, second, n): how often two planes have each pair of values."""
+    both = F.arrays_zip(F.col(first), F.col(second))
+    return (
+        px.filter("core")
+        .select(*PAGE, F.inline(both))
+        .groupBy(*PAGE, first, second)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def with_cumulative(hist: DataFrame) -> DataFrame:
     by_value = W.partitionBy(*PAGE).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     return hist.withColumns({"cum": F.sum("n").over(by_value), "total": F.sum("n").over(W.partitionBy(*PAGE))})
@@ -101,51 +112,60 @@ def plane_mean(px: DataFrame, plane: str, name: str) -> DataFrame:
     )
 
 
+def _line_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def masked_parts(planes: list[str], mask: str) -> dict[str, tuple[Column, str]]:
+    """What a scanline adds to the masked means of its page: pixels, and each plane's sum."""
+    sums = {f"_sum_{p}": (_line_sum(F.zip_with(p, mask, lambda v, m: v * m)), "sum") for p in planes}
+    return {"_masked": (_line_sum(F.col(mask)), "sum")} | sums
+
+
+def masked_means(planes: list[str], default: float = 128.0) -> dict[str, Column]:
+    """Means from the page's ``masked_parts``; ``default`` where the mask is set nowhere."""
+    return {
+        f"mean_{p}": F.when(F.col("_masked") > 0, F.col(f"_sum_{p}") / F.col("_masked")).otherwise(F.lit(default))
+        for p in planes
+    }
+
+
 def masked_mean(px: DataFrame, planes: list[str], mask: str, default: float = 128.0) -> DataFrame:
     """Mean of each plane where the mask is set; ``default`` where it is set nowhere."""
-    marked = F.aggregate(mask, F.lit(0).cast("long"), lambda s, v: s + v)
+    sums = _page_totals(px, masked_parts(planes, mask))
+    return sums.select(*PAGE, F.col("_masked").alias("masked"), *[c.alias(n) for n, c in masked_means(planes, default).items()])
 
-    def total(plane: str) -> Column:
-        return F.aggregate(
-            F.zip_with(plane, mask, lambda v, m: v * m), F.lit(0).cast("long"), lambda s, v: s + v
-        )
 
-    sums = px.filter("core").groupBy(*PAGE).agg(
-        F.sum(marked).alias("_n"), *[F.sum(total(p)).alias(f"_{p}") for p in planes]
-    )
-    return sums.select(
-        *PAGE,
-        F.col("_n").alias("masked"),
-        *[
-            F.when(F.col("_n") > 0, F.col(f"_{p}") / F.col("_n")).otherwise(F.lit(default)).alias(f"mean_{p}")
-            for p in planes
-        ],
-    )
+def _page_totals(px: DataFrame, parts: dict[str, tuple[Column, str]]) -> DataFrame:
+    return px.filter("core").groupBy(*PAGE).agg(*[getattr(F, how)(v).alias(n) for n, (v, how) in parts.items()])
 
 
-def color_richness(px: DataFrame, sat: str, visible: str, paper: str | None = None) -> DataFrame:
-    """Share of visible pixels with clear colour, rescaled to 0..1.
-
-    With a ``paper`` mask, also the strongest visible colour on it (``top_sat``, -1 if none).
-    """
-    seen = F.aggregate(visible, F.lit(0).cast("long"), lambda s, v: s + v)
-    vivid = F.aggregate(
-        F.zip_with(sat, visible, lambda s, v: ((s > 18) & (v > 0)).cast("int")),
-        F.lit(0).cast("long"), lambda s, v: s + v,
-    )
-    found = [F.sum(seen).alias("_n"), F.sum(vivid).alias("_c")]
+def richness_parts(sat: str, visible: str, paper: str | None = None) -> dict[str, tuple[Column, str]]:
+    """What a scanline adds to its page's colour richness: visible pixels and those of clear colour;
+    with a ``paper`` mask, also the strongest visible colour on it (``top_sat``, -1 if none)."""
+    vivid = F.zip_with(sat, visible, lambda s, v: ((s > 18) & (v > 0)).cast("int"))
+    parts = {"_seen_n": (_line_sum(F.col(visible)), "sum"), "_vivid_n": (_line_sum(vivid), "sum")}
     if paper:
         on_paper = F.transform(
             F.arrays_zip(F.col(sat).alias("s"), F.col(visible).alias("v"), F.col(paper).alias("p")),
             lambda t: F.when((t["v"] > 0) & (t["p"] > 0), t["s"]).otherwise(-1),
         )
-        found.append(F.max(F.array_max(on_paper)).alias("top_sat"))
-    sums = px.filter("core").groupBy(*PAGE).agg(*found)
-    density = F.col("_c") / F.col("_n")
-    richness = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(
+        parts["top_sat"] = (F.array_max(on_paper), "max")
+    return parts
+
+
+def richness() -> Column:
+    """Share of visible pixels with clear colour, rescaled to 0..1, from the page's ``richness_parts``."""
+    density = F.col("_vivid_n") / F.col("_seen_n")
+    return F.when(F.col("_seen_n") == 0, F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), (density - 0.025) / 0.14))
     )
-    return sums.select(*PAGE, richness.alias("richness"), *(["top_sat"] if paper else []))
+
+
+def color_richness(px: DataFrame, sat: str, visible: str, paper: str | None = None) -> DataFrame:
+    """``richness`` per page and, with a ``paper`` mask, ``top_sat``."""
+    sums = _page_totals(px, richness_parts(sat, visible, paper))
+    return sums.select(*PAGE, richness().alias("richness"), *(["top_sat"] if paper else []))
 
 
 def line_bright_ratio(px: DataFrame, plane: str, axis: str, threshold: int = 18) -> DataFrame:

@@ -9,7 +9,6 @@ from scanloom.raster import stats
 # What counts as bright, and the allowed range of each level.
 BRIGHT = 224
 TOP_LEVEL = 244
-ROUNDS = 32
 EVERY = 1 << 40
 STOP = 0.2
 LEVEL_RANGES = {3: ((16, 52), (112, 188), (236, 255)), 4: ((16, 56), (72, 132), (136, 196), (236, 255))}
@@ -155,29 +154,123 @@ def _levels(centers: Column, k: int) -> Column:
     )
 
 
+def page_bins(hist: DataFrame, weight: str = "n") -> DataFrame:
+    """One row per page: ``bins``, its values in order with their weight and the weight and weighted sum
+    up to them, behind an empty one. At most 257 entries."""
+    n = F.col(weight).cast("double")
+    upto = W.partitionBy(*stats.PAGE).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    summed = hist.select(*stats.PAGE, "v", n.alias("weight"), F.sum(n).over(upto).alias("cw"), F.sum(n * F.col("v")).over(upto).alias("cs"))
+    nothing = F.lit(0.0)
+    empty = F.struct(F.lit(-1).alias("v"), nothing.alias("weight"), nothing.alias("cw"), nothing.alias("cs"))
+    listed = F.collect_list(F.struct(F.col("v").cast("int").alias("v"), "weight", "cw", "cs"))
+    return summed.groupBy(*stats.PAGE).agg(F.array_sort(F.concat(F.array(empty), listed)).alias("bins"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def exact_centers(bins: Column, k: int) -> Column:
+    """The means of the best split of the values into ``k`` (3 or 4) runs, by dynamic programming.
+
+    The best split has the least squared distance to the means, that is, the largest sum over runs of
+    squared sum by weight; of equals, the one cut first. ``before[j]`` is the best split in two of the
+    first j values and ``behind[j]`` that of the others, so the last step tries every j once. With
+    fewer values than runs, runs without values take the value at their cut.
+    """
+    last = F.size(bins) - 1
+    at = lambda i: F.get(bins, i)
+
+    def gain(i: Column, j: Column) -> Column:
+        apart = at(j)["cs"] - at(i)["cs"]
+        return F.when(j > i, apart * apart / (at(j)["cw"] - at(i)["cw"])).otherwise(F.lit(0.0))
+
+    def best(first: Column, after: Column, value) -> Column:
+        return F.array_max(F.transform(F.sequence(first, after), lambda i: F.struct(value(i).alias("gain"), (-i).alias("cut"))))
+
+    zero, places = F.lit(0), F.sequence(F.lit(0), last)
+    before = F.transform(places, lambda j: best(zero, j, lambda i: gain(zero, i) + gain(i, j)))
+    behind = F.transform(places, lambda j: best(j, last, lambda i: gain(j, i) + gain(i, last)))
+    if k == 3:
+        middle = lambda pre: F.array_max(
+            F.transform(places, lambda j: F.struct((F.get(pre, j)["gain"] + gain(j, last)).alias("gain"), (-j).alias("cut"),
+                                                   F.array(-F.get(pre, j)["cut"], j).alias("at")))
+        )
+        found = _bind(before, middle)
+    else:
+        middle = lambda pre, post: F.array_max(
+            F.transform(places, lambda j: F.struct((F.get(pre, j)["gain"] + F.get(post, j)["gain"]).alias("gain"), (-j).alias("cut"),
+                                                   F.array(-F.get(pre, j)["cut"], j, -F.get(post, j)["cut"]).alias("at")))
+        )
+        found = _bind(before, lambda pre: _bind(behind, lambda post: middle(pre, post)))
+
+    def mean(i: Column, j: Column) -> Column:
+        return F.when(at(j)["cw"] > at(i)["cw"], (at(j)["cs"] - at(i)["cs"]) / (at(j)["cw"] - at(i)["cw"])).otherwise(
+            at(F.greatest(j, F.lit(1)))["v"].cast("double")
+        )
+
+    bounds = F.concat(F.array(zero), found["at"], F.array(last))
+    return _bind(bounds, lambda b: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: mean(F.get(b, i), F.get(b, i + 1))))
+
+
+def _otsu(bins: Column) -> Column:
+    """``stats.otsu`` on one page's bins."""
+    def variance(b: Column, whole: Column) -> Column:
+        rest = whole["cw"] - b["cw"]
+        apart = b["cs"] / b["cw"] - (whole["cs"] - b["cs"]) / rest
+        return F.when((b["cw"] > 0) & (rest > 0), F.struct((b["cw"] * rest * apart * apart).alias("var"), (-b["v"]).alias("v")))
+
+    most = _bind(F.element_at(bins, -1), lambda whole: F.array_max(F.transform(bins, lambda b: variance(b, whole))))
+    return F.coalesce(-most["v"], F.lit(127))
+
+
+def tone_count_of(bins: Column) -> Column:
+    """``stats.tone_count`` on one page's bins."""
+    total = F.element_at(bins, -1)["cw"]
+    above = lambda rank: F.get(F.filter(bins, lambda b: b["cw"] > rank), F.lit(0))["v"]
+
+    def linear(p: float) -> Column:
+        at = (total - 1) * F.lit(p)
+        low, high = above(F.floor(at)), above(F.ceil(at))
+        return (low + (high - low) * (at - F.floor(at))).cast("double")
+
+    mid = F.aggregate(bins, F.lit(0.0), lambda s, b: s + F.when((b["v"] >= 96) & (b["v"] < 220), b["weight"]).otherwise(0.0)) / total
+    q10, tail = linear(0.10), linear(0.50) - linear(0.10)
+    return F.when((q10 >= 232) & (tail < 12), 2).when((q10 >= 185) & (tail < 60) & (mid < 0.12), 3).otherwise(4)
+
+
+def _levels_of(bins: Column, tones: Column, fit) -> Column:
+    """Levels of a page; ``fit(k)`` gives the centers of k tones."""
+    dark = F.greatest(F.lit(16), F.least(F.lit(48), F.floor(_otsu(bins) * 0.30 + 0.5))).cast("int")
+    return F.when(tones == 2, F.array(dark, F.lit(TOP_LEVEL))).when(tones == 3, _levels(fit(3), 3)).otherwise(_levels(fit(4), 4))
+
+
+def fitted_tones(hist: DataFrame) -> DataFrame:
+    """(page_id, h, tones, levels) with every page's own number of tones, from one pass over its histogram."""
+    bins = F.col("bins")
+    counted = page_bins(hist).withColumn("tones", tone_count_of(bins))
+    return counted.select(*stats.PAGE, "tones", _levels_of(bins, F.col("tones"), lambda k: exact_centers(bins, k)).alias("levels"))
+
+
 def tone_levels(
-    hist: DataFrame, tones: DataFrame, rounds: int = ROUNDS, bright_minimum: int | None = None
+    hist: DataFrame, tones: DataFrame, rounds: int | None = None, bright_minimum: int | None = None
 ) -> DataFrame:
     """Gray levels per page: (page_id, h, tones, levels, converged).
 
     Two tones: a dark level from the Otsu threshold, and the top level. Three or four: k-means on
-    the weighted histogram.
+    the weighted histogram, the best there is, or with ``rounds`` what so many rounds from a quantile
+    start reach.
     """
-    weighted = weighted_bins(hist, bright_minimum)
-    dark = stats.otsu(weighted, "weight").select(
-        *stats.PAGE, F.greatest(F.lit(16), F.least(F.lit(48), F.floor(F.col("threshold") * 0.30 + 0.5))).cast("int").alias("_dark")
-    )
-    bins = weighted.groupBy(*stats.PAGE).agg(F.array_sort(F.collect_list(F.struct("v", "weight"))).alias("_bins"))
-    joined = tones.select(*stats.PAGE, "tones").join(dark, stats.PAGE).join(bins, stats.PAGE)
-    fit = F.when(F.col("tones") == 3, _clusters(F.col("_bins"), 3, rounds)).when(
-        F.col("tones") > 3, _clusters(F.col("_bins"), 4, rounds)
-    )
+    bins = F.col("bins")
+    joined = tones.select(*stats.PAGE, "tones").join(page_bins(weighted_bins(hist, bright_minimum), "weight"), stats.PAGE)
+    if rounds is None:
+        levels = _levels_of(bins, F.col("tones"), lambda k: exact_centers(bins, k))
+        return joined.select(*stats.PAGE, "tones", levels.alias("levels"), F.lit(True).alias("converged"))
+    own = F.slice(bins, F.lit(2), F.size(bins))
+    fit = F.when(F.col("tones") == 3, _clusters(own, 3, rounds)).when(F.col("tones") > 3, _clusters(own, 4, rounds))
     fitted = joined.withColumn("_fit", fit)
-    levels = (
-        F.when(F.col("tones") == 2, F.array(F.col("_dark"), F.lit(TOP_LEVEL)))
-        .when(F.col("tones") == 3, _levels(F.col("_fit.centers"), 3))
-        .otherwise(_levels(F.col("_fit.centers"), 4))
-    )
+    levels = _levels_of(bins, F.col("tones"), lambda k: F.col("_fit.centers"))
     converged = F.coalesce(F.col("_fit.done"), F.lit(True))
     return fitted.select(*stats.PAGE, "tones", levels.alias("levels"), converged.alias("converged"))
 

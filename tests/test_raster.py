@@ -244,3 +244,81 @@ def test_packed_masks_equal_pixel_steps(spark, w, size):
         ([("erode", size)], nb.erode(px, "v", size)),
     ):
         assert (plane(nb.mask_steps(px, "v", steps), "v") == plane(pixels, "v")).all()
+
+
+def test_settled_scanlines_are_the_same(spark):
+    image = np.random.default_rng(5).integers(0, 256, (37, 11))
+    px = page(spark, image, 10, 3).withColumn("tag", F.lit(7))
+    key = lambda df: sorted(map(str, df.collect()))
+    settled = grid.settle(px, ["tag"])
+    assert key(settled.select(px.columns)) == key(px)
+    total = F.aggregate("v", F.lit(0), lambda s, v: s + v)
+    summed = grid.settle(px.drop("tag"), totals={"all": (total, "sum"), "top": (F.array_max("v"), "max")}, band_rows=10)
+    assert {(r["all"], r["top"]) for r in summed.collect()} == {(int(image.sum()), int(image.max()))}
+    assert key(summed.select(px.drop("tag").columns)) == key(px.drop("tag"))
+    marks = spark.createDataFrame([(1, b, y, f"m{y}") for b in range(4) for y in range(0, 37, 5)], "page_id int, band int, y int, value string")
+    marks = marks.withColumn("page_id", F.lit(px.first().page_id))
+    assert all(r["_beside"] == f"m{r.y // 5 * 5}" for r in grid.settle(px.drop("tag"), beside=marks).collect())
+
+
+def test_filters_read_once_and_run_nothing_early(spark, tmp_path):
+    image = np.full((24, 20), 210)
+    image[10:12, 4:16] = 30
+    px = page(spark, image, name="r").withColumns({"g": F.col("r"), "b": F.col("r")})
+    px.write.parquet(str(tmp_path / "px"))
+    px = spark.read.parquet(str(tmp_path / "px"))
+    pages = px.select(F.col("page_id").alias("id"), F.lit("whiteboard").alias("filter_name")).distinct()
+    pages = spark.createDataFrame(pages.collect(), pages.schema)
+    context = spark.sparkContext
+    context.setJobGroup("building", "building a filter")
+    try:
+        done = presets.apply_filters(pages, px, ["sharpen", "whiteboard"])
+        assert len(context.statusTracker().getJobIdsForGroup("building")) == 0
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(done.collect()) == 24
+    plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") >= 4
+
+
+def brute_split(values, weights, k):
+    """Best split of ascending values into k runs, by trying all."""
+    import itertools
+
+    best = None
+    for cut in itertools.combinations(range(1, len(values)), k - 1):
+        runs = list(zip((0, *cut), (*cut, len(values))))
+        means = [np.average(values[a:b], weights=weights[a:b]) for a, b in runs]
+        cost = sum((weights[a:b] * (values[a:b] - m) ** 2).sum() for (a, b), m in zip(runs, means))
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, means)
+    return best[1]
+
+
+@pytest.mark.parametrize("k", [3, 4])
+def test_exact_tones_are_the_best_split(spark, k):
+    rng = np.random.default_rng(20 + k)
+    for size in (5, 9, 14):
+        values = np.sort(rng.choice(256, size, replace=False))
+        weights = rng.integers(1, 60, size)
+        hist = spark.createDataFrame([(1, 8, int(v), int(n)) for v, n in zip(values, weights)], "page_id int, h int, v int, n long")
+        found = tone.page_bins(hist).select(tone.exact_centers(F.col("bins"), k).alias("c")).first().c
+        assert found == pytest.approx(brute_split(values, weights, k))
+
+
+def test_exact_tones_of_few_values(spark):
+    hist = spark.createDataFrame([(1, 8, 90, 5)], "page_id int, h int, v int, n long")
+    assert tone.page_bins(hist).select(tone.exact_centers(F.col("bins"), 4).alias("c")).first().c == [90.0] * 4
+    two = spark.createDataFrame([(1, 8, 90, 5), (1, 8, 200, 1)], "page_id int, h int, v int, n long")
+    assert set(tone.page_bins(two).select(tone.exact_centers(F.col("bins"), 3).alias("c")).first().c) == {90.0, 200.0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_page_fits_equal_their_table_forms(spark, seed):
+    rng = np.random.default_rng(seed)
+    values = rng.integers(*((0, 256), (180, 256), (230, 244))[seed], (20, 30))
+    hist = stats.histogram(page(spark, values), "v")
+    whole = tone.fitted_tones(hist).first()
+    counted = stats.tone_count(hist)
+    assert whole.tones == counted.first().tones
+    assert list(whole.levels) == list(tone.tone_levels(hist, counted).first().levels)
