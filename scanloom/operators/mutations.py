@@ -43,7 +43,7 @@ def rename(documents: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
         commands.withColumn("name", trim(F.col("name")))
         .filter(F.length("name") > 0)
         .groupBy(F.col("document_id").alias("id"))
-        .agg(F.max_by("name", "seq").alias("_name"))
+        .agg(F.max_by("name", F.struct("seq", "name")).alias("_name"))
     )
     return documents.join(wanted, "id", "left").select(
         "id",
@@ -92,7 +92,7 @@ def replace_pages(
 ) -> tuple[DataFrame, DataFrame]:
     """``commands(page_id, image_path, seq)``: new image, previews reset, filter and rotation kept."""
     columns = pages.columns
-    latest = commands.groupBy(F.col("page_id").alias("id")).agg(F.max_by("image_path", "seq").alias("_image"))
+    latest = commands.groupBy(F.col("page_id").alias("id")).agg(F.max_by("image_path", F.struct("seq", "image_path")).alias("_image"))
     joined = pages.join(latest, "id", "left")
     hit = F.col("_image").isNotNull()
     replaced = joined.withColumns(
@@ -167,7 +167,7 @@ def move(
 
 def _set_by_page(documents, pages, commands, now, column: str) -> tuple[DataFrame, DataFrame]:
     columns = pages.columns
-    latest = commands.groupBy(F.col("page_id").alias("id")).agg(F.max_by(column, "seq").alias("_new"))
+    latest = commands.groupBy(F.col("page_id").alias("id")).agg(F.max_by(column, F.struct("seq", column)).alias("_new"))
     joined = pages.join(latest, "id", "left")
     updated = joined.withColumn(column, F.coalesce("_new", column)).select(*columns)
     return touch(documents, _at(joined.filter("_new IS NOT NULL"), now)), updated
@@ -186,7 +186,7 @@ def set_rotation(documents: DataFrame, pages: DataFrame, commands: DataFrame, no
 def set_document_filter(documents: DataFrame, pages: DataFrame, commands: DataFrame, now: Column):
     """``commands(document_id, filter_name, seq)`` for every page of the document."""
     columns = pages.columns
-    latest = commands.groupBy("document_id").agg(F.max_by("filter_name", "seq").alias("_new"))
+    latest = commands.groupBy("document_id").agg(F.max_by("filter_name", F.struct("seq", "filter_name")).alias("_new"))
     updated = pages.join(latest, "document_id", "left").withColumn(
         "filter_name", F.coalesce("_new", "filter_name")
     )

@@ -230,19 +230,66 @@ def weigh_rows(px: DataFrame, plane: str, weights: list[float], name: str, borde
     return stacked.withColumn(name, F.transform(plane, taps)).drop("_stack")
 
 
+def _powers_in(length: int) -> list[tuple[int, int]]:
+    """Powers of two that add up to ``length``, largest first, each with the sum of those before it."""
+    out, done = [], 0
+    for bit in range(length.bit_length() - 1, -1, -1):
+        if length >> bit & 1:
+            out.append((1 << bit, done))
+            done += 1 << bit
+    return out
+
+
 def sum_lines(px: DataFrame, plane: str, r: int, name: str) -> DataFrame:
-    """Sum of ``2r+1`` values along each line, edges repeated."""
-    padded = px.withColumn("_padded", pad_line(F.col(plane), r))
-    box = lambda _, i: F.aggregate(
-        F.slice(F.col("_padded"), i + 1, F.lit(2 * r + 1)), F.lit(0).cast("long"), lambda a, v: a + v
-    )
-    return padded.withColumn(name, F.transform(plane, box)).drop("_padded")
+    """Sum of ``2r+1`` values along each line, edges repeated.
+
+    Sums of 2, 4, 8, ... neighbours come from each other by one addition, and a few of them make up the
+    width, so the work per pixel grows with the width's logarithm.
+    """
+    parts = _powers_in(2 * r + 1)
+    summed = px.withColumn("_sum1", F.transform(pad_line(F.col(plane), r), lambda v: v.cast("long")))
+    m = 1
+    while m < parts[0][0]:
+        summed = summed.withColumn(f"_sum{2 * m}", F.expr(f"transform(_sum{m}, (v, i) -> v + coalesce(get(_sum{m}, i + {m}), 0L))"))
+        m *= 2
+    terms = " + ".join(f"get(_sum{m}, i + {at})" for m, at in parts)
+    return summed.withColumn(name, F.expr(f"transform(`{plane}`, (v, i) -> {terms})")).select(*dict.fromkeys([*px.columns, name]))
 
 
 def sum_rows(px: DataFrame, plane: str, r: int, name: str) -> DataFrame:
-    """Sum of ``2r+1`` values across rows, edges repeated."""
-    stacked = with_stack(px, plane, r, "_stack")
-    box = lambda _, i: F.aggregate(
-        F.col("_stack"), F.lit(0).cast("long"), lambda a, line: a + F.get(line, i)
+    """Sum of ``2r+1`` values across rows, edges repeated.
+
+    As in ``sum_lines``: sums of 2, 4, 8, ... rows from each row on, and up to it, each from the one before by
+    one addition. Beyond the last or first row of the partition that row goes on, which is right at the
+    page's edges; at those of a margin nothing is, which is what margins are for.
+    """
+    order, whole = rows_in_order(), rows_in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    line = F.transform(plane, lambda v: v.cast("long"))
+    summed = px.withColumn("_on1", line).withColumns(
+        {"_up1": F.col("_on1"), "_end": F.last("_on1").over(whole), "_start": F.first("_on1").over(whole)}
+    )
+    parts, m = _powers_in(r + 1), 1
+    sides = (("_on", F.lead, "_end"), ("_up", F.lag, "_start"))
+
+    def moved(side: str, way, m: int, rows: int) -> Column:
+        return F.col(f"{side}{m}") if rows == 0 else way(f"{side}{m}", rows).over(order)
+
+    def beyond(c: str, edge: str, m: int) -> str:
+        return f"coalesce(get({c}, i), {m}L * get({edge}, i))"
+
+    while m < parts[0][0]:
+        summed = summed.withColumns({f"{side}_": moved(side, way, m, m) for side, way, _ in sides})
+        summed = summed.withColumns(
+            {
+                f"{side}{2 * m}": F.expr(f"transform({side}{m}, (v, i) -> v + {beyond(side + '_', edge, m)})")
+                for side, _, edge in sides
+            }
+        )
+        m *= 2
+    taken = {f"{side}_{m}": moved(side, way, m, at) for side, way, _ in sides for m, at in parts}
+    terms = " + ".join(beyond(f"{side}_{m}", edge, m) for side, _, edge in sides for m, _ in parts)
+    return (
+        summed.withColumns(taken)
+        .withColumn(name, F.expr(f"transform(`{plane}`, (v, i) -> {terms} - v)"))
+        .select(*dict.fromkeys([*px.columns, name]))
     )
-    return stacked.withColumn(name, F.transform(plane, box)).drop("_stack")
