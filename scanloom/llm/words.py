@@ -185,17 +185,22 @@ def equal_words(low, starts, ends, other, other_starts, other_ends) -> np.ndarra
 
 
 def in_blocks(items: DataFrame, text_col: str, key_cols: list[str], limit: int = ITEM_BYTES) -> list[DataFrame]:
-    """``items`` dealt into blocks by a hash of their key, none above ``limit`` bytes of text unless
-    it is down to one key. The blocks' sizes are counted, and there are more of them until they fit."""
+    """``items`` dealt into blocks by a hash of their key, none above ``limit`` bytes of text. A key that
+    is larger by itself is a block of its own. Sizes are counted, and there are more blocks until they fit."""
+    key = F.xxhash64(F.lit("block"), *key_cols)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(16)
-    number = 1
+    sizes = items.groupBy(key.alias("_key")).agg(F.sum(size).alias("_size"))
+    # Each of these has more than ``limit`` bytes, so there are fewer than the items' bytes by ``limit``.
+    large = [r[0] for r in sizes.filter(F.col("_size") > limit).select("_key").collect()]
+    small, number = sizes.filter(F.col("_size") <= limit), 1
     while True:
-        block = F.pmod(F.xxhash64(F.lit("block"), *key_cols), F.lit(number))
-        sizes = items.groupBy(block.alias("_block")).agg(
-            F.sum(size).alias("_size"), F.count_distinct(F.xxhash64(*key_cols)).alias("_keys")
-        )
-        worst = sizes.filter(F.col("_keys") > 1).agg(F.max("_size")).first()[0] or 0
+        blocks = small.groupBy(F.pmod("_key", F.lit(number)).alias("_block")).agg(F.sum("_size").alias("_size"))
+        worst = blocks.agg(F.max("_size")).first()[0] or 0
         if worst <= limit:
             break
         number *= 2 if worst < 4 * limit else int(2 * worst // limit)
-    return [items] if number == 1 else [items.filter(block == k) for k in range(number)]
+    if number == 1 and not large:
+        return [items]
+    rest = items.filter(~key.isin(large)) if large else items
+    dealt = [rest.filter(F.pmod(key, F.lit(number)) == k) for k in range(number)]
+    return dealt + [items.filter(key == k) for k in large]

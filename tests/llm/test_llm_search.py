@@ -50,6 +50,17 @@ def test_equal_hashes_are_told_apart():
     assert sorted(zip(places.tolist(), entries.tolist())) == [(0, 0), (0, 2), (2, 3)]
 
 
+def test_blocks_hold_every_item_once_within_the_limit(spark):
+    rows = [(i, "x" * (20 + i % 7)) for i in range(200)] + [(500, "y" * 5000), (501, "z" * 900), (None, "n"), (502, None)]
+    items = spark.createDataFrame(rows, "item long, text string")
+    blocks = [b.collect() for b in words.in_blocks(items, "text", ["item"], 600)]
+    assert sorted((r.item or -1) for b in blocks for r in b) == sorted((i or -1) for i, _ in rows)
+    assert all(sum(16 + len(r.text or "") for r in b) <= 600 or len(b) == 1 for b in blocks)
+    assert len(blocks) < 70
+    assert len(words.in_blocks(items, "text", ["item"])) == 1
+    assert len(words.in_blocks(items.filter("false"), "text", ["item"], 10)) == 1
+
+
 def brute_overlaps(texts, items, window=10):
     held = collections.defaultdict(set)
     for name, text in items:
